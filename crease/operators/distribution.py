@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,34 +15,40 @@ def box_summary(df: DataFrame, by: Sequence[str], value: str, whis: float = 1.5)
     definition box plots use.  Whiskers reach the most extreme value inside
     ``[q1 - whis*IQR, q3 + whis*IQR]`` (falling back to the quartile when no
     value lies between the fence and the quartile); ``outliers`` counts values
-    beyond the whiskers.
+    beyond the whiskers.  NULL values are ignored; a group with only NULLs
+    has ``n = 0`` and NULL statistics.
 
-    Two aggregations, both with partial (map-side) buffers, so a hot group is
-    never gathered into one task: ``percentile`` keeps a value -> count map, so
-    its memory follows the number of distinct values, not rows.  The second
-    pass joins each row to its group's fences (one row per group, which AQE
-    broadcasts once it has seen its size).
+    One pass over ``df``: it is first reduced to a histogram, one row per
+    (group, distinct value) with its count (partial aggregation, so a hot
+    group is collapsed map-side).  Everything else -- weighted percentiles,
+    fences, whiskers, outlier counts -- is window aggregates over the
+    histogram rows of a group, so a task holds one group's *distinct values*,
+    never its rows.  Meant for measures with a bounded set of values (innings
+    totals, counts); a continuous measure would keep one histogram row per
+    input row.
     """
     by = list(by)
-    v = F.col(value)
-    q = F.percentile(v, [0.25, 0.5, 0.75])
-    stats = (df.groupBy(*by)
-             .agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("_q"))
-             .select(*by, "n", "min", "max",
-                     F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
-    iqr = F.col("q3") - F.col("q1")
-    fences = stats.select(*by, (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
-    tails = (df.select(*by, v.alias("_v")).join(fences, on=by)
-             .groupBy(*by)
-             .agg(F.min(F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))).alias("_in_lo"),
-                  F.max(F.when(F.col("_v") <= F.col("_hi"), F.col("_v"))).alias("_in_hi"),
-                  F.count(F.when((F.col("_v") < F.col("_lo")) | (F.col("_v") > F.col("_hi")), 1))
-                  .alias("outliers")))
+    v, c = F.col(value), F.col("_c")
+    hist = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    g = Window.partitionBy(*by)
+    known = v.isNotNull()
+    q = F.percentile(v, [0.25, 0.5, 0.75], c)
+    h = hist.select(*by, v.alias("_v"), c,
+                    F.sum(F.when(known, c).otherwise(0)).over(g).alias("n"),
+                    F.min(v).over(g).alias("min"), F.max(v).over(g).alias("max"),
+                    q.over(g).alias("_q"))
+    q1, q3 = F.col("_q")[0], F.col("_q")[2]
+    h = h.select("*", (q1 - whis * (q3 - q1)).alias("_lo"), (q3 + whis * (q3 - q1)).alias("_hi"))
+    x = F.col("_v")
+    stats = [F.col("n"), F.col("min"), q1.alias("q1"), F.col("_q")[1].alias("median"), q3.alias("q3"),
+             F.col("max")]
+    agg = (h.groupBy(*by, *stats)
+           .agg(F.min(F.when(x >= F.col("_lo"), x)).alias("_in_lo"),
+                F.max(F.when(x <= F.col("_hi"), x)).alias("_in_hi"),
+                F.sum(F.when((x < F.col("_lo")) | (x > F.col("_hi")), c).otherwise(0)).alias("outliers")))
     lo = F.when(F.col("_in_lo").isNull() | (F.col("_in_lo") > F.col("q1")), F.col("q1")) \
         .otherwise(F.col("_in_lo").cast("double"))
     hi = F.when(F.col("_in_hi").isNull() | (F.col("_in_hi") < F.col("q3")), F.col("q3")) \
         .otherwise(F.col("_in_hi").cast("double"))
-    return (stats.join(tails, on=by, how="left")
-            .select(*by, "n", "min", "q1", "median", "q3", "max",
-                    lo.alias("whisker_lo"), hi.alias("whisker_hi"),
-                    F.coalesce(F.col("outliers"), F.lit(0).cast("bigint")).alias("outliers")))
+    return agg.select(*by, "n", "min", "q1", "median", "q3", "max",
+                      lo.alias("whisker_lo"), hi.alias("whisker_hi"), "outliers")

@@ -30,15 +30,18 @@ def clean_deliveries(deliveries: DataFrame) -> DataFrame:
     return canonical_teams(legal_deliveries(deliveries))
 
 
-def with_running_score(deliveries: DataFrame, out: str = "runningScorePerInning") -> DataFrame:
+def with_running_score(deliveries: DataFrame, out: str = "runningScorePerInning",
+                       skew_safe: bool = True) -> DataFrame:
     """Innings score after each ball, ordered by (over, ball).
 
     Balls that share ``(over, ball)`` (e.g. an extra followed by its re-bowl
     when extras are kept) are peers and share the total that includes all of
     them.  Computed on whatever frame is passed in (legal balls in the report,
-    so it excludes wides and no-balls, as the report does).
+    so it excludes wides and no-balls, as the report does).  ``skew_safe``:
+    see ``operators.running.running_total``.
     """
-    return running_total(deliveries, ["match_id", "inning"], ["over", "ball"], "total_runs", out)
+    return running_total(deliveries, ["match_id", "inning"], ["over", "ball"], "total_runs", out,
+                         skew_safe=skew_safe)
 
 
 def with_high_impact(deliveries: DataFrame, out: str = "high_Impact") -> DataFrame:
