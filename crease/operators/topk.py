@@ -20,6 +20,17 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
+                    rank_col: str = "rank") -> DataFrame:
+    """First ``k`` rows of each ``by`` group under ``order`` (a total order).
+
+    ``row_number() <= k`` plans as a ``WindowGroupLimit`` on each side of the
+    exchange: every task forwards at most ``k`` rows per group.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
 def leaders(df: DataFrame, by: Sequence[str], order: Sequence[Column],
             tie_break: Sequence[Column] = (), *, keep_ties: bool = False,
             rank_col: str = "rank") -> DataFrame:

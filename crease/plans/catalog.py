@@ -46,6 +46,7 @@ QUERIES: dict[str, Report] = {
     "top_boundaries": _raw(lb.top_boundaries),
     "top_sixes": _raw(lb.top_sixes),
     "top_fours": _raw(lb.top_fours),
+    "boundary_boards": _raw(lb.boundary_boards),
     "top_catches": _raw(lb.top_catches),
     "top_stumpings": _raw(lb.top_stumpings),
     "powerplay_economy": _raw(lb.powerplay_economy),

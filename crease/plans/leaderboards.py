@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as C
-from ..operators.topk import top_k
+from ..operators.topk import top_k, top_k_per_group
 
 
 def _board(df: DataFrame, where: Column, key: str, measure: Column, name: str,
@@ -33,6 +33,24 @@ def top_boundaries(deliveries: DataFrame, k: int = C.TOP_K) -> DataFrame:
                   F.count("batsman_runs"), "Boundaries_Hit", k)
 
 
+def boundary_boards(deliveries: DataFrame, k: int = C.TOP_K) -> DataFrame:
+    """The fours, sixes and boundaries boards from one scan: (board, batter, Hits).
+
+    One per-batter aggregate with three conditional counts is unpivoted into
+    (board, batter, Hits) rows and cut to the top ``k`` per board: one scan,
+    one shuffle of partial counts, one small shuffle of at most ``k`` rows per
+    board per task.
+    """
+    r = F.col("batsman_runs")
+    per = deliveries.where(r.isin(4, 6)).groupBy("batter").agg(
+        F.count_if(r == 4).alias("Fours_Hit"), F.count_if(r == 6).alias("Sixes_Hit"),
+        F.count(r).alias("Boundaries_Hit"))
+    long = per.select("batter", F.expr(
+        "stack(3, 'Fours_Hit', Fours_Hit, 'Sixes_Hit', Sixes_Hit, 'Boundaries_Hit', Boundaries_Hit) AS (board, Hits)"))
+    top = top_k_per_group(long.where(F.col("Hits") > 0), ["board"], [F.desc("Hits"), F.asc("batter")], k)
+    return top.select("board", "batter", "Hits")
+
+
 def top_wickets(deliveries: DataFrame, k: int = C.TOP_K) -> DataFrame:
     return _board(deliveries, X.bowler_wicket(), "bowler", F.count("is_wicket"), "Total_Wickets", k)
 

@@ -62,3 +62,9 @@ def test_no_python_in_any_plan(spark):
     for name in Q:
         p = _plan(spark, name)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_boundary_boards_read_deliveries_once(spark):
+    p = _plan(spark, "boundary_boards")
+    assert len(re.findall(r"FileScan parquet", p)) == 1
+    assert "WindowGroupLimit" in p
