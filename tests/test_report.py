@@ -46,3 +46,25 @@ def test_joins_without_broadcast_give_the_same_rows(spark):
             spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         else:
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
+
+
+def test_cli_runs_reports_from_csv(spark, capsys):
+    import os
+
+    from crease.__main__ import main
+    from crease.sources.schemas import DELIVERY_COLUMNS, MATCH_COLUMNS
+
+    d = tempfile.mkdtemp(prefix="crease-cli-")
+    with open(os.path.join(d, "d.csv"), "w") as f:
+        f.write(",".join(DELIVERY_COLUMNS) + "\n1,1,Kings XI Punjab,Mumbai Indians,0,1,A,X,N,6,0,6,NA,0,NA,NA,NA\n")
+    with open(os.path.join(d, "m.csv"), "w") as f:
+        f.write(",".join(MATCH_COLUMNS) + "\n1,2020,C,2020-04-01,League,A,Eden Gardens,t1,t2,t1,bat,t1,"
+                "wickets,5,150,20,N,NA,U1,U2\n")
+    rc = main(["--deliveries", f"{d}/d.csv", "--matches", f"{d}/m.csv", "--format", "csv",
+               "--out", f"{d}/out", "--reports", "top_sixes,venue_max_chase"])
+    assert rc == 0
+    assert [tuple(r) for r in spark.read.parquet(f"{d}/out/top_sixes").collect()] == [("A", 1)]
+    assert [tuple(r) for r in spark.read.parquet(f"{d}/out/venue_max_chase").collect()] == [
+        ("Eden Gardens, Kolkata", 150)]
+    assert main(["--list"]) == 0
+    assert "running_score" in capsys.readouterr().out
