@@ -84,8 +84,12 @@ QUERIES: dict[str, Report] = {
     "running_score": lambda t: cl.with_running_score(cl.legal_deliveries(t.deliveries)),
     "high_impact": lambda t: cl.with_high_impact(cl.legal_deliveries(t.deliveries)),
     "canonical_teams": _raw(cl.clean_deliveries),
-    "match_date_parts": _matches(cl.match_date_parts),
-    "win_margin_category": _matches(cl.with_win_margin_category),
-    "toss_match_winner": _matches(cl.with_toss_match_winner),
-    "canonical_venues": _matches(cl.canonical_venues),
+    # match labels: the library functions return every match column; the
+    # reports keep the match key, the label and the text it is derived from
+    "match_date_parts": lambda t: cl.match_date_parts(t.matches).select("id", "season", "Year", "Month", "Day"),
+    "win_margin_category": lambda t: cl.with_win_margin_category(t.matches).select(
+        "id", "result", "Win_Margin_Category"),
+    "toss_match_winner": lambda t: cl.with_toss_match_winner(t.matches).select(
+        "id", "toss_winner", "winner", "Toss_Match_Winner"),
+    "canonical_venues": lambda t: cl.canonical_venues(t.matches).select("id", "venue"),
 }

@@ -27,8 +27,9 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, name, sf_dir):
     res = compare(spark, sf_dir, [name], verbose=False)[name]
-    status, n, ok_cols, ok_types, ok_n, exact, _ = res
+    status, n, ok_cols, ok_types, ok_n, exact, _, via_pandas = res
     assert ok_cols, "column names differ"
     assert ok_types, "column types differ"
     assert ok_n, "row counts differ"
     assert exact, "row values differ"
+    assert via_pandas, "row values differ when read through pandas"
