@@ -1,13 +1,12 @@
 """Season-level reports: deliveries joined to their match's season.
 
-The join is fact -> dimension on ``match_id = id``.  Deliveries are first
-aggregated to one row per (match, player) or (match, innings) -- partial
-aggregation collapses the fact side map-side, so a match holding a huge
-share of the balls reaches the join as a handful of rows -- and only then
-joined to the match attributes.  No broadcast hint: the match table grows
-with the data, so Spark picks broadcast only when its measured size is under
-``spark.sql.autoBroadcastJoinThreshold`` (statically, or at run time through
-AQE), and a shuffled join otherwise.
+The join is fact -> dimension on ``match_id = id`` through
+``operators.dimension.rollup_by_dimension``: when the match table is proven
+small (a bounded row count) it is broadcast and joined before aggregating, so
+deliveries are never shuffled; otherwise deliveries are first aggregated per
+(match, player) or (match, innings) -- partial aggregation collapses a match
+holding a huge share of the balls inside each task -- and the reduced rows
+are joined with a join Spark sizes itself.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as C
+from ..operators.dimension import BROADCAST_MAX_ROWS, rollup_by_dimension
 from ..operators.distribution import box_summary
 from ..operators.topk import leaders, top_k
 
@@ -24,25 +24,16 @@ RUNS_SEASON = "Most_Runs_in_a_Single_Season"
 WKTS_SEASON = "Most_Wickets_in_a_Single_Season"
 
 
-def with_match(per_match: DataFrame, matches: DataFrame, *attrs: str | Column) -> DataFrame:
-    """Attach match attributes to rows keyed by ``match_id`` (inner join)."""
-    m = matches.select(F.col("id"), *attrs)
-    return per_match.join(m, per_match["match_id"] == m["id"], "inner").drop("id")
-
-
-def season_runs(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
+def season_runs(deliveries: DataFrame, matches: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Runs per (batter, season)."""
-    per_match = deliveries.groupBy("match_id", "batter").agg(F.sum("batsman_runs").alias("_r"))
-    return (with_match(per_match, matches, "season")
-            .groupBy("batter", "season").agg(F.sum("_r").alias(RUNS_SEASON)))
+    return rollup_by_dimension(deliveries, "match_id", matches, "id", [F.col("season")], ["batter"],
+                               {RUNS_SEASON: F.sum("batsman_runs")}, max_rows)
 
 
-def season_wickets(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
+def season_wickets(deliveries: DataFrame, matches: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Bowler wickets (run outs excluded) per (bowler, season)."""
-    per_match = (deliveries.where(X.bowler_wicket()).groupBy("match_id", "bowler")
-                 .agg(F.count("is_wicket").alias("_w")))
-    return (with_match(per_match, matches, "season")
-            .groupBy("bowler", "season").agg(F.sum("_w").alias(WKTS_SEASON)))
+    return rollup_by_dimension(deliveries.where(X.bowler_wicket()), "match_id", matches, "id",
+                               [F.col("season")], ["bowler"], {WKTS_SEASON: F.count("is_wicket")}, max_rows)
 
 
 def top_season_runs(deliveries: DataFrame, matches: DataFrame, k: int = C.TOP_K) -> DataFrame:
@@ -66,11 +57,12 @@ def season_top_bowler(deliveries: DataFrame, matches: DataFrame, keep_ties: bool
                    [F.desc(WKTS_SEASON)], [F.asc("bowler")], keep_ties=keep_ties)
 
 
-def season_innings_totals(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
+def season_innings_totals(deliveries: DataFrame, matches: DataFrame,
+                          max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Total runs of every innings (super overs included) with its season."""
-    per_innings = deliveries.groupBy("match_id", "inning").agg(F.sum("total_runs").alias("_r"))
-    return (with_match(per_innings, matches, "season")
-            .groupBy("season", "match_id", "inning").agg(F.sum("_r").alias("Runs")))
+    return rollup_by_dimension(deliveries, "match_id", matches, "id", [F.col("season")],
+                               ["match_id", "inning"], {"Runs": F.sum("total_runs")}, max_rows) \
+        .select("season", "match_id", "inning", "Runs")
 
 
 def season_innings_box(deliveries: DataFrame, matches: DataFrame,

@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as C
+from ..operators.dimension import BROADCAST_MAX_ROWS, rollup_by_dimension
 from ..operators.matrix import to_matrix
-from .seasons import with_match
 
 INNINGS = [1, 2]
 
 
-def venue_innings_avg(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
+def venue_innings_avg(deliveries: DataFrame, matches: DataFrame,
+                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Mean first- and second-innings total per venue, rounded up.
 
-    Super overs (innings above 2) are left out.  Deliveries are summed per
-    (match, innings) before the join, so the join and the venue aggregate see
-    one row per innings.
+    Super overs (innings above 2) are left out.  Innings totals are built
+    first (one row per match and innings, with the match's canonical venue;
+    see ``operators.dimension``), then averaged per venue.
     """
-    per_innings = (deliveries.where(F.col("inning") <= 2).groupBy("match_id", "inning")
-                   .agg(F.sum("total_runs").alias("_r")))
-    joined = with_match(per_innings, matches, X.canonical("venue", C.VENUE_ALIASES).alias("venue"))
-    return joined.groupBy("venue", "inning").agg(
+    innings = rollup_by_dimension(
+        deliveries.where(F.col("inning") <= 2), "match_id", matches, "id",
+        [X.canonical("venue", C.VENUE_ALIASES).alias("venue")], ["match_id", "inning"],
+        {"_r": F.sum("total_runs")}, max_rows)
+    return innings.groupBy("venue", "inning").agg(
         F.ceil(X.ratio(F.sum("_r"), F.count_distinct("match_id"))).alias("Average_Score"))
 
 

@@ -28,11 +28,26 @@ def test_season_leader_uses_window_group_limit_before_the_shuffle(spark):
     assert "Exchange rangepartitioning" not in p
 
 
-def test_deliveries_are_aggregated_before_the_join(spark):
+def test_small_match_table_is_broadcast_and_deliveries_not_shuffled(spark):
     for name in ("season_top_batter", "top_season_wkts", "season_innings_totals", "venue_innings_avg"):
         p = _plan(spark, name)
+        assert "BroadcastHashJoin" in p, name
+        below_join = p[p.index("BroadcastHashJoin"):]
+        fact_side = below_join.split("BroadcastExchange")[0]
+        assert "Exchange hashpartitioning" not in fact_side, name     # fact rows are not shuffled
+
+
+def test_large_match_table_path_aggregates_before_the_join(spark):
+    from crease.plans import seasons, venues
+    from crease.sources.adapter import from_tpch
+
+    t = from_tpch(spark, SF_ORACLE)
+    for df in (seasons.season_runs(t.deliveries, t.matches, max_rows=0),
+               seasons.season_innings_totals(t.deliveries, t.matches, max_rows=0),
+               venues.venue_innings_avg(t.deliveries, t.matches, max_rows=0)):
+        p = plan_text(df, "simple")
         join_at = p.index("Join")
-        assert "HashAggregate" in p[join_at:], name            # pre-aggregation below the join
+        assert "partial_sum" in p[join_at:]                       # pre-aggregation below the join
 
 
 def test_every_aggregate_has_a_partial_step(spark):

@@ -25,19 +25,28 @@ def test_run_report_writes_every_report_and_matches_direct(spark):
         assert _rows(spark.read.parquet(paths[n]).select(*direct.columns)) == _rows(direct), n
 
 
-def test_joins_without_broadcast_give_the_same_rows(spark):
-    """Matches grow with the data: with broadcast disabled the joins plan as
-    shuffled joins and must give identical results."""
-    names = ["season_top_batter", "top_season_wkts", "season_innings_box", "venue_innings_avg", "running_score"]
-    q = queries()
-    expected = {n: _rows(q[n](spark, SF_SMALL)) for n in names}
+def test_both_join_paths_give_the_same_rows(spark):
+    """The match table grows with the data: beyond the row bound the season and
+    venue reports pre-aggregate and let Spark size the join.  With broadcast
+    disabled that path plans shuffled joins; both paths give identical rows."""
+    from crease.plans import seasons as se
+    from crease.plans import venues as ve
+
+    t = from_tpch(spark, SF_SMALL)
+    reports = {
+        "season_runs": lambda m: se.season_runs(t.deliveries, t.matches, max_rows=m),
+        "season_wickets": lambda m: se.season_wickets(t.deliveries, t.matches, max_rows=m),
+        "season_innings_totals": lambda m: se.season_innings_totals(t.deliveries, t.matches, max_rows=m),
+        "venue_innings_avg": lambda m: ve.venue_innings_avg(t.deliveries, t.matches, max_rows=m),
+    }
+    expected = {n: _rows(f(100_000)) for n, f in reports.items()}
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     old_aqe = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        for n in names:
-            df = q[n](spark, SF_SMALL)
+        for n, f in reports.items():
+            df = f(0)
             assert "BroadcastHashJoin" not in plan_text(df, "simple"), n
             assert _rows(df) == expected[n], n
     finally:
@@ -48,6 +57,21 @@ def test_joins_without_broadcast_give_the_same_rows(spark):
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
 
 
+def test_running_score_without_broadcast(spark):
+    q = queries()
+    expected = _rows(q["running_score"](spark, SF_SMALL))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = q["running_score"](spark, SF_SMALL)
+        assert "BroadcastHashJoin" not in plan_text(df, "simple")
+        assert _rows(df) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_cli_runs_reports_from_csv(spark, capsys):
     import os
 
