@@ -43,14 +43,16 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
 
 def rollup_by_dimension(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
                         attrs: Sequence[Column], keys: Sequence[str],
-                        measures: dict[str, Column], max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                        measures: dict[str, Column], max_rows: int | None = None) -> DataFrame:
     """``fact ⋈ dim`` grouped by ``keys + attrs``, with summable ``measures``.
 
     ``attrs`` are named Columns over ``dim`` (e.g. ``F.col("season")``);
     ``measures`` maps output names to aggregate Columns over ``fact`` whose
     partial results add up (``sum``, ``count``).  Inner-join semantics: fact
-    rows without a dimension row are dropped.
+    rows without a dimension row are dropped.  ``max_rows`` defaults to the
+    module's ``BROADCAST_MAX_ROWS`` at call time.
     """
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     side = dim.select(F.col(dim_key).alias("_dim_key"), *attrs)
     names = side.columns[1:]
     if has_at_most(dim, max_rows):          # same rows as ``side``; memoised on ``dim``

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as C
-from ..operators.dimension import BROADCAST_MAX_ROWS, rollup_by_dimension
+from ..operators.dimension import rollup_by_dimension
 from ..operators.distribution import box_summary
 from ..operators.topk import leaders, top_k
 
@@ -24,13 +24,13 @@ RUNS_SEASON = "Most_Runs_in_a_Single_Season"
 WKTS_SEASON = "Most_Wickets_in_a_Single_Season"
 
 
-def season_runs(deliveries: DataFrame, matches: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def season_runs(deliveries: DataFrame, matches: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Runs per (batter, season)."""
     return rollup_by_dimension(deliveries, "match_id", matches, "id", [F.col("season")], ["batter"],
                                {RUNS_SEASON: F.sum("batsman_runs")}, max_rows)
 
 
-def season_wickets(deliveries: DataFrame, matches: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def season_wickets(deliveries: DataFrame, matches: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Bowler wickets (run outs excluded) per (bowler, season)."""
     return rollup_by_dimension(deliveries.where(X.bowler_wicket()), "match_id", matches, "id",
                                [F.col("season")], ["bowler"], {WKTS_SEASON: F.count("is_wicket")}, max_rows)
@@ -58,7 +58,7 @@ def season_top_bowler(deliveries: DataFrame, matches: DataFrame, keep_ties: bool
 
 
 def season_innings_totals(deliveries: DataFrame, matches: DataFrame,
-                          max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                          max_rows: int | None = None) -> DataFrame:
     """Total runs of every innings (super overs included) with its season."""
     return rollup_by_dimension(deliveries, "match_id", matches, "id", [F.col("season")],
                                ["match_id", "inning"], {"Runs": F.sum("total_runs")}, max_rows) \

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as C
-from ..operators.dimension import BROADCAST_MAX_ROWS, rollup_by_dimension
+from ..operators.dimension import rollup_by_dimension
 from ..operators.matrix import to_matrix
 
 INNINGS = [1, 2]
 
 
 def venue_innings_avg(deliveries: DataFrame, matches: DataFrame,
-                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                      max_rows: int | None = None) -> DataFrame:
     """Mean first- and second-innings total per venue, rounded up.
 
     Super overs (innings above 2) are left out.  Innings totals are built
