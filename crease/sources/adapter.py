@@ -2,10 +2,11 @@
 
 The test data has no cricket tables, so ``lineitem`` (one row per line) stands
 in for deliveries and ``orders`` for matches.  Every ``lineitem`` row becomes a
-delivery; 25 consecutive order keys form one match, whose attributes come from
-the block's first order (``o_orderkey % 25 = 0``).  This is a change of grain,
-not a sample: each delivery's ``match_id`` is its block's first key, so every
-delivery joins to exactly one match.
+delivery; every block of 25 consecutive order keys becomes one match: all
+orders are grouped by block, and the match takes its attributes from the
+block's first order (``min_by`` over the order key).  This is a change of
+grain, not a sample: every order is read and aggregated, each delivery's
+``match_id`` is its block key, and every delivery joins exactly one match.
 
 Each column is one SQL expression accepted as written by Spark SQL and by
 DuckDB; the same text builds the oracle's CTEs (``oracle_ctes``) and, except
@@ -72,9 +73,11 @@ DELIVERY_EXPRS: tuple[tuple[str, str], ...] = (
                 "THEN concat('F', CAST(l_orderkey % 43 AS STRING)) END"),
 )
 
-MATCH_FILTER = "o_orderkey % 25 = 0"
+# One row per block of 25 order keys: the block key and its first order's columns.
+MATCH_BLOCK = "o_orderkey - o_orderkey % 25"
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 MATCH_EXPRS: tuple[tuple[str, str], ...] = (
-    ("id", "CAST(o_orderkey AS INT)"),
+    ("id", "CAST(_block AS INT)"),
     ("season", "CAST(YEAR(o_orderdate) AS STRING)"),
     ("city", "concat('C', CAST(o_custkey % 9 AS STRING))"),
     ("date", "CAST(o_orderdate AS DATE)"),
@@ -127,7 +130,11 @@ def deliveries_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def matches_from_orders(orders: DataFrame) -> DataFrame:
-    return orders.where(F.expr(MATCH_FILTER)).select(*[F.expr(e).alias(n) for n, e in MATCH_EXPRS])
+    """One match per block of 25 order keys (a partial+final aggregate over all orders)."""
+    first = (orders.where(F.col("o_orderkey").isNotNull())
+             .groupBy(F.expr(MATCH_BLOCK).alias("_block"))
+             .agg(F.min_by(F.struct(*ORDER_COLUMNS), F.col("o_orderkey")).alias("_first")))
+    return first.select("_block", "_first.*").select(*[F.expr(e).alias(n) for n, e in MATCH_EXPRS])
 
 
 def from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
@@ -145,5 +152,8 @@ def oracle_ctes() -> str:
     """``WITH deliveries AS (...), matches AS (...)`` for DuckDB."""
     d = ",\n  ".join(f"{e} AS {_quote(n)}" for n, e in DELIVERY_EXPRS)
     m = ",\n  ".join(f"{e} AS {_quote(n)}" for n, e in MATCH_EXPRS)
+    first = ", ".join(f"arg_min({c}, o_orderkey) AS {c}" for c in ORDER_COLUMNS)
+    blocks = (f"SELECT {MATCH_BLOCK} AS _block, {first} FROM orders "
+              "WHERE o_orderkey IS NOT NULL GROUP BY 1")
     return (f"WITH deliveries AS (SELECT\n  {d}\nFROM lineitem),\n"
-            f"matches AS (SELECT\n  {m}\nFROM orders WHERE {MATCH_FILTER})")
+            f"matches AS (SELECT\n  {m}\nFROM ({blocks}))")
