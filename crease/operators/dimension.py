@@ -32,9 +32,13 @@ _bounded: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.Weak
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  Reads at most
-    ``max_rows + 1`` rows (a limited scan), and remembers the answer for this
-    DataFrame object."""
+    """True when ``df`` has at most ``max_rows`` rows; the answer is
+    remembered for this DataFrame object.
+
+    The count runs over ``df.limit(max_rows + 1)``: on a stored table it stops
+    after ``max_rows + 1`` rows.  When ``df`` is itself an aggregate (like the
+    test adapter's match table) its input is aggregated once to produce them.
+    """
     memo = _bounded.setdefault(df, {})
     if max_rows not in memo:
         memo[max_rows] = df.limit(max_rows + 1).count() <= max_rows
