@@ -3,14 +3,15 @@
 ``rollup_by_dimension`` groups fact rows by keys of their own plus attributes
 of the dimension row they join to.  It picks one of two plans:
 
-* **Dimension proven small** (at most ``max_rows`` rows, checked by counting
-  at most ``max_rows + 1`` of them): broadcast the projected dimension, join
-  first, aggregate after.  The fact side is never shuffled; only partial
-  aggregates are.
+* **Dimension proven small** (at most ``max_rows`` rows, checked by a
+  bounded count) and the grouping drops the dimension key: broadcast the
+  projected dimension, join first, aggregate after.  The fact side is never
+  shuffled; only partial aggregates are.
 * **Otherwise**: aggregate the fact side per (dimension key, own keys) first
   -- map-side partial aggregation collapses a hot dimension key inside each
-  task -- then join the reduced rows (Spark chooses the join from its size
-  estimates; AQE can still switch to broadcast at run time) and merge.
+  task -- then join the reduced rows (broadcast when proven small; else Spark
+  chooses from its size estimates, and AQE can still switch to broadcast at
+  run time) and merge.
 
 The check runs once per dimension DataFrame object (memoised), so a report
 run pays for it once.  Measures must merge by summation (sum, count).
@@ -59,10 +60,15 @@ def rollup_by_dimension(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key:
     max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     side = dim.select(F.col(dim_key).alias("_dim_key"), *attrs)
     names = side.columns[1:]
-    if has_at_most(dim, max_rows):          # same rows as ``side``; memoised on ``dim``
+    small = has_at_most(dim, max_rows)      # same rows as ``side``; memoised on ``dim``
+    if small and fact_key not in keys:
         joined = fact.join(F.broadcast(side), fact[fact_key] == side["_dim_key"], "inner")
         return joined.groupBy(*keys, *names).agg(*[m.alias(n) for n, m in measures.items()])
+    # Pre-aggregate per (dimension key, own keys).  When the own keys include
+    # the dimension key this is already the output grain, the join sees the
+    # reduced rows, and the final grouping reuses the pre-aggregate's
+    # partitioning (no further exchange).
     pre_keys = [fact_key] + [k for k in keys if k != fact_key]
     partial = fact.groupBy(*pre_keys).agg(*[m.alias(f"_p_{n}") for n, m in measures.items()])
-    joined = partial.join(side, partial[fact_key] == side["_dim_key"], "inner")
+    joined = partial.join(F.broadcast(side) if small else side, partial[fact_key] == side["_dim_key"], "inner")
     return joined.groupBy(*keys, *names).agg(*[F.sum(f"_p_{n}").alias(n) for n in measures])

@@ -29,12 +29,21 @@ def test_season_leader_uses_window_group_limit_before_the_shuffle(spark):
 
 
 def test_small_match_table_is_broadcast_and_deliveries_not_shuffled(spark):
-    for name in ("season_top_batter", "top_season_wkts", "season_innings_totals", "venue_innings_avg"):
+    # player x season grain: join the broadcast matches first, no exchange of fact rows
+    for name in ("season_top_batter", "top_season_wkts"):
         p = _plan(spark, name)
         assert "BroadcastHashJoin" in p, name
-        below_join = p[p.index("BroadcastHashJoin"):]
-        fact_side = below_join.split("BroadcastExchange")[0]
-        assert "Exchange hashpartitioning" not in fact_side, name     # fact rows are not shuffled
+        fact_side = p[p.index("BroadcastHashJoin"):].split("BroadcastExchange")[0]
+        assert "Exchange hashpartitioning" not in fact_side, name
+    # innings grain: pre-aggregate per innings, then broadcast-join the reduced rows;
+    # the only exchange below the join carries partial sums
+    for name in ("season_innings_totals", "venue_innings_avg"):
+        p = _plan(spark, name)
+        assert "BroadcastHashJoin" in p, name
+        fact_side = p[p.index("BroadcastHashJoin"):].split("BroadcastExchange")[0]
+        assert fact_side.count("Exchange hashpartitioning") == 1, name
+        below = fact_side[fact_side.index("Exchange hashpartitioning"):]
+        assert "partial_sum" in below.split("\n", 2)[1], name
 
 
 def test_large_match_table_path_aggregates_before_the_join(spark):
