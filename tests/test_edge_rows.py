@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from crease.functions import constants as C
 from crease.plans import cleaning as cl
@@ -204,4 +203,3 @@ def test_venue_aliases_merge(spark):
                         match(id=2, venue="Arun Jaitley Stadium", result="wickets", target_runs=190),
                         match(id=3, venue=None, result="wickets", target_runs=250)])
     assert rows(ve.venue_max_chase(m), "venue", "Highest_Chased_Total") == [("Arun Jaitley Stadium, Delhi", 190)]
-    assert F is not None
