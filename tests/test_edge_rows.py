@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from crease.functions import constants as C
 from crease.plans import cleaning as cl
 from crease.plans import faceoffs as fo
