@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,33 @@ def to_matrix(long: DataFrame, index: str, columns: str, value: str,
     for n in names:
         any_cell = any_cell | F.col(f"`{n}`").isNotNull()
     return wide.where(any_cell)
+
+
+def conditional_matrix(df: DataFrame, index: str, columns: str, column_values: Sequence,
+                       cell: Callable[[Column], Column], *, total_label: str | None = None) -> DataFrame:
+    """The same matrix as pivoting a per-(index, column) aggregate, in one aggregate.
+
+    ``cell(cond)`` builds one cell's aggregate restricted to the rows where
+    ``cond`` holds, e.g. ``lambda cond: F.round(F.avg(F.when(cond, "runs")) * 6, 2)``;
+    it is called with ``columns == v`` for each matrix column ``v``, and the
+    aggregate ignores the other rows (``when`` yields NULL there).  One scan, one partial aggregate per task, one exchange of at
+    most (index values x tasks) rows -- instead of aggregating to long form and
+    pivoting that (two or three exchanges).
+
+    ``total_label`` adds a row over all input rows (index ignored, NULL index
+    included) labelled with that text: a grouping-set aggregate, still one
+    exchange.  Rows with a NULL index and rows whose cells are all NULL are
+    dropped, as in ``to_matrix``.
+    """
+    names = [str(v) for v in column_values]
+    cells = [cell(F.col(columns) == v).alias(n) for v, n in zip(column_values, names)]
+    if total_label is None:
+        wide = df.where(F.col(index).isNotNull()).groupBy(index).agg(*cells)
+    else:
+        agg = df.groupingSets([[index], []], index).agg(F.grouping(index).alias("_all"), *cells)
+        label = F.when(F.col("_all") == 1, F.lit(total_label)).otherwise(F.col(index))
+        wide = agg.select(label.alias(index), *names).where(F.col(index).isNotNull())
+    any_cell = F.lit(False)
+    for n in names:
+        any_cell = any_cell | F.col(f"`{n}`").isNotNull()
+    return wide.where(any_cell)

@@ -2,8 +2,9 @@
 
 Long forms are hash aggregates keyed by (team, over) -- at most teams x 20
 groups, so after map-side partial aggregation each task ships a few hundred
-rows whatever the data size.  Wide forms pivot that small aggregate with a
-fixed column list.
+rows whatever the data size.  Wide forms are one aggregate keyed by team with
+one conditional aggregate per over / phase (a fixed column list), so they
+also need a single exchange.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as C
-from ..operators.matrix import to_matrix
+from ..operators.matrix import conditional_matrix
 from .cleaning import canonical_teams, legal_deliveries
 
 OVERS = list(range(C.OVERS_PER_INNINGS))
@@ -51,8 +52,19 @@ def run_rate_long(clean: DataFrame) -> DataFrame:
             .where(F.col("batting_team").isNotNull() & F.col("over").isNotNull()))
 
 
+def _rate_cell(col: str):
+    return lambda cond: X.per_over(F.avg(F.when(cond, F.col(col))))
+
+
+def _phase_cell(cond):
+    return F.round(F.avg(F.when(cond, F.col("is_wicket"))) * C.BALLS_PER_OVER * C.OVERS_PER_PHASE, 5)
+
+
+# The wide forms equal pivoting the long forms above (checked against the
+# oracle, which pivots the long SQL), computed in one aggregate each.
 def run_rate_matrix(clean: DataFrame) -> DataFrame:
-    return to_matrix(run_rate_long(clean), "batting_team", "over", "Run_Rate", OVERS)
+    return conditional_matrix(clean, "batting_team", "over", OVERS, _rate_cell("total_runs"),
+                              total_label=C.ALL_TEAMS)
 
 
 def conceded_long(clean: DataFrame) -> DataFrame:
@@ -61,7 +73,7 @@ def conceded_long(clean: DataFrame) -> DataFrame:
 
 
 def conceded_matrix(clean: DataFrame) -> DataFrame:
-    return to_matrix(conceded_long(clean), "bowling_team", "over", "avg_runs", OVERS)
+    return conditional_matrix(clean, "bowling_team", "over", OVERS, _rate_cell("total_runs"))
 
 
 def _phase_wickets(clean: DataFrame, team: str) -> DataFrame:
@@ -79,8 +91,10 @@ def team_phase_wkts_lost(clean: DataFrame) -> DataFrame:
 
 
 def wkts_taken_matrix(clean: DataFrame) -> DataFrame:
-    return to_matrix(team_phase_wkts_taken(clean), "bowling_team", "Overs", "Wickets", PHASES)
+    return conditional_matrix(clean.withColumn("Overs", X.phase("over")), "bowling_team", "Overs", PHASES,
+                              _phase_cell)
 
 
 def wkts_lost_matrix(clean: DataFrame) -> DataFrame:
-    return to_matrix(team_phase_wkts_lost(clean), "batting_team", "Overs", "Wickets", PHASES)
+    return conditional_matrix(clean.withColumn("Overs", X.phase("over")), "batting_team", "Overs", PHASES,
+                              _phase_cell)
