@@ -126,26 +126,3 @@ def test_to_matrix_matches_pandas_pivot_table(spark, seed):
     want = {t: tuple(None if (c not in want.columns or pd.isna(want.loc[t, c])) else float(want.loc[t, c])
                      for c in (0, 1, 2)) for t in want.index}
     assert got == want
-
-
-@pytest.mark.parametrize("seed", SEEDS)
-def test_conditional_matrix_equals_pivot_of_long_form(spark, seed):
-    from crease.operators.matrix import conditional_matrix
-
-    rnd = random.Random(seed)
-    rows = [(rnd.choice(["x", "y", "z", None]), rnd.choice([0, 1, 2, 3, None]), rnd.choice([None, 0, 1, 4, 6]))
-            for _ in range(80)]
-    schema = StructType([StructField("t", StringType()), StructField("c", IntegerType()),
-                         StructField("v", IntegerType())])
-    df = spark.createDataFrame(rows, schema)
-    cols = [0, 1, 2]                                  # column 3 exists in the data but is not asked for
-    cell = lambda cond: F.round(F.avg(F.when(cond, F.col("v"))) * 6, 2)
-    long = df.groupBy("t", "c").agg(F.round(F.avg("v") * 6, 2).alias("r"))
-    want = {tuple(r) for r in to_matrix(long, "t", "c", "r", cols).collect()}
-    got = {tuple(r) for r in conditional_matrix(df, "t", "c", cols, cell).collect()}
-    assert got == want
-    # with a total row over all rows (NULL keys included), labelled "ALL"
-    total = df.groupBy("c").agg(F.round(F.avg("v") * 6, 2).alias("r")).select(F.lit("ALL").alias("t"), "c", "r")
-    want_t = {tuple(r) for r in to_matrix(long.unionByName(total), "t", "c", "r", cols).collect()}
-    got_t = {tuple(r) for r in conditional_matrix(df, "t", "c", cols, cell, total_label="ALL").collect()}
-    assert got_t == want_t

@@ -92,10 +92,3 @@ def test_boundary_boards_read_deliveries_once(spark):
     p = _plan(spark, "boundary_boards")
     assert len(re.findall(r"FileScan parquet", p)) == 1
     assert "WindowGroupLimit" in p
-
-
-def test_wide_matrices_need_one_exchange(spark):
-    for name in ("run_rate_matrix", "conceded_matrix", "wkts_taken_matrix", "wkts_lost_matrix"):
-        p = _plan(spark, name)
-        assert len(re.findall(r"Exchange hashpartitioning", p)) == 1, name
-        assert len(re.findall(r"FileScan parquet", p)) == 1, name
