@@ -33,3 +33,21 @@ def test_matches_oracle(spark, name, sf_dir):
     assert ok_n, "row counts differ"
     assert exact, "row values differ"
     assert via_pandas, "row values differ when read through pandas"
+
+
+LAYOUT_SENSITIVE = ["top_runs", "season_top_batter", "season_top_bowler_ties", "faceoff_batter",
+                    "boundary_boards", "season_innings_box", "running_score", "run_rate_matrix"]
+
+
+def test_results_do_not_depend_on_physical_layout(spark):
+    """Same rows with AQE off and 200 shuffle partitions (ties, top-k and windows
+    must be resolved by the data, not by task order)."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        res = compare(spark, SF_ORACLE, LAYOUT_SENSITIVE, verbose=False)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert all(v[0] == "OK" and v[7] for v in res.values()), res
