@@ -1,12 +1,13 @@
 """Season-level reports: deliveries joined to their match's season.
 
 The join is fact -> dimension on ``match_id = id`` through
-``operators.dimension.rollup_by_dimension``: when the match table is proven
-small (a bounded row count) it is broadcast and joined before aggregating, so
-deliveries are never shuffled; otherwise deliveries are first aggregated per
-(match, player) or (match, innings) -- partial aggregation collapses a match
-holding a huge share of the balls inside each task -- and the reduced rows
-are joined with a join Spark sizes itself.
+``operators.dimension.rollup_by_dimension``.  When a bounded row count proves
+the match table small it is broadcast: player x season reports join first
+(deliveries are never shuffled, only partial aggregates), innings reports sum
+per innings first and join the reduced rows.  Beyond the bound, deliveries
+are aggregated per (match, player) or (match, innings) first -- partial
+aggregation collapses a match holding a huge share of the balls inside each
+task -- and the reduced rows are joined with a join Spark sizes itself.
 """
 
 from __future__ import annotations
