@@ -3,8 +3,9 @@
 ``rollup_by_dimension`` groups fact rows by keys of their own plus attributes
 of the dimension row they join to.  It picks one of two plans:
 
-* **Dimension proven small** (at most ``max_rows`` rows, checked by a
-  bounded count) and the grouping drops the dimension key: broadcast the
+* **Dimension proven small** (at most ``max_rows`` rows and
+  ``BROADCAST_MAX_BYTES`` of projected values, checked by one bounded job)
+  and the grouping drops the dimension key: broadcast the
   projected dimension, join first, aggregate after.  The fact side is never
   shuffled; only partial aggregates are.
 * **Otherwise**: aggregate the fact side per (dimension key, own keys) first
@@ -25,25 +26,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# id (int) plus one or two short strings per row: ~100k rows is a few MB as a
-# broadcast hash relation, well under executor memory on any cluster.
+# A broadcast side is accepted when both bounds hold for the projected rows.
+# 100k rows of an id plus one or two strings, at most 32 MB of values, is a
+# small hash relation next to any executor's memory.
 BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 32 << 20
 
-_bounded: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
+_bounded: "weakref.WeakKeyDictionary[DataFrame, dict[tuple, bool]]" = weakref.WeakKeyDictionary()
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; the answer is
-    remembered for this DataFrame object.
+def _value_bytes(side: DataFrame) -> Column:
+    """Bytes of the values in one row: string/binary lengths, 8 per other value."""
+    parts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+             if f.dataType.typeName() in ("string", "binary") else F.lit(8)
+             for f in side.schema.fields]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total.cast("long")
 
-    The count runs over ``df.limit(max_rows + 1)``: on a stored table it stops
-    after ``max_rows + 1`` rows.  When ``df`` is itself an aggregate (like the
-    test adapter's match table) its input is aggregated once to produce them.
+
+def fits_broadcast(dim: DataFrame, side: DataFrame, max_rows: int,
+                   max_bytes: int = BROADCAST_MAX_BYTES, projection: tuple = ()) -> bool:
+    """True when ``side`` (a projection of ``dim``) has at most ``max_rows`` rows
+    and at most ``max_bytes`` of values.
+
+    One bounded job: count and size the first ``max_rows + 1`` rows (on a
+    stored table the scan stops there; when ``dim`` is itself an aggregate,
+    like the test adapter's match table, its input is aggregated once).  The
+    answer is remembered per ``dim`` object and ``projection`` (a hashable
+    description of how ``side`` was projected from ``dim``).
     """
-    memo = _bounded.setdefault(df, {})
-    if max_rows not in memo:
-        memo[max_rows] = df.limit(max_rows + 1).count() <= max_rows
-    return memo[max_rows]
+    memo = _bounded.setdefault(dim, {})
+    key = (projection, side.schema.simpleString(), max_rows, max_bytes)
+    if key not in memo:
+        if max_rows <= 0:
+            memo[key] = False
+        else:
+            row = (side.limit(max_rows + 1)
+                   .agg(F.count(F.lit(1)).alias("n"), F.sum(_value_bytes(side)).alias("b")).first())
+            memo[key] = row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
+    return memo[key]
 
 
 def rollup_by_dimension(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
@@ -60,7 +83,7 @@ def rollup_by_dimension(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key:
     max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     side = dim.select(F.col(dim_key).alias("_dim_key"), *attrs)
     names = side.columns[1:]
-    small = has_at_most(dim, max_rows)      # same rows as ``side``; memoised on ``dim``
+    small = fits_broadcast(dim, side, max_rows, projection=(dim_key, *map(repr, attrs)))
     if small and fact_key not in keys:
         joined = fact.join(F.broadcast(side), fact[fact_key] == side["_dim_key"], "inner")
         return joined.groupBy(*keys, *names).agg(*[m.alias(n) for n, m in measures.items()])

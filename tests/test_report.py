@@ -92,3 +92,16 @@ def test_cli_runs_reports_from_csv(spark, capsys):
         ("Eden Gardens, Kolkata", 150)]
     assert main(["--list"]) == 0
     assert "running_score" in capsys.readouterr().out
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from crease.operators.dimension import fits_broadcast
+
+    dim = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "id int, name string")
+    side = dim.select(F.col("id").alias("_dim_key"), "name")
+    assert fits_broadcast(dim, side, 50, 50 * 108, projection=("p1",))
+    assert not fits_broadcast(dim, side, 49, 10**9, projection=("p2",))      # one row too many
+    assert not fits_broadcast(dim, side, 50, 50 * 108 - 1, projection=("p3",))  # one byte too many
+    assert not fits_broadcast(dim, side, 0, 10**9, projection=("p4",))
