@@ -31,16 +31,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: ``spark.checkpoint.dir`` if the
-    cluster names one, else (local runs only) a fresh temporary folder, which
-    is then set on the session."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared folder for lineage cuts and written intermediates.
+
+    ``spark.checkpoint.dir`` when the cluster names one (read, never changed),
+    else the context's checkpoint folder if one was set, else (local runs
+    only) a fresh temporary folder registered with ``setCheckpointDir``.
+    ``spark.checkpoint.dir`` itself is a core setting Spark does not let a
+    running session modify, so it is never written here.
+    """
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="crease-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 

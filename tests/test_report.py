@@ -105,3 +105,36 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert not fits_broadcast(dim, side, 49, 10**9, projection=("p2",))      # one row too many
     assert not fits_broadcast(dim, side, 50, 50 * 108 - 1, projection=("p3",))  # one byte too many
     assert not fits_broadcast(dim, side, 0, 10**9, projection=("p4",))
+
+
+def test_checkpoint_dir_reads_the_session_setting_and_never_writes_it(spark, monkeypatch):
+    from crease import session
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        assert session.checkpoint_dir(spark) == configured.rstrip("/")
+
+    class _Conf:                      # a session whose config names no folder
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):    # pragma: no cover - must never be called
+            raise AssertionError(f"checkpoint_dir wrote {key}")
+
+    class _Ctx:
+        def __init__(self):
+            self.dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class _Session:
+        conf, sparkContext = _Conf(), _Ctx()
+
+    fake = _Session()
+    d = session.checkpoint_dir(fake)
+    assert d and fake.sparkContext.dir == d
+    assert session.checkpoint_dir(fake) == d            # stable once chosen
