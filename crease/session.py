@@ -34,13 +34,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediates.
 
     ``spark.checkpoint.dir`` when the cluster names one (read, never changed),
-    else the context's checkpoint folder if one was set, else (local runs
-    only) a fresh temporary folder registered with ``setCheckpointDir``.
+    else the context's checkpoint folder if one was set, else -- in local mode
+    only -- a fresh temporary folder registered with ``setCheckpointDir``.  On
+    a cluster with neither, it raises instead of using a machine-local folder.
     ``spark.checkpoint.dir`` itself is a core setting Spark does not let a
     running session modify, so it is never written here.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not str(spark.sparkContext.master).startswith("local"):
+            raise ValueError("no shared checkpoint folder: set spark.checkpoint.dir (or call "
+                             "sparkContext.setCheckpointDir) to a folder every executor can reach")
         d = tempfile.mkdtemp(prefix="crease-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")

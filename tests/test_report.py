@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import pytest
+
 from __spark_entry__ import queries
 from crease.plans.catalog import QUERIES
 from crease.plans.report import run_report
@@ -122,8 +124,8 @@ def test_checkpoint_dir_reads_the_session_setting_and_never_writes_it(spark, mon
             raise AssertionError(f"checkpoint_dir wrote {key}")
 
     class _Ctx:
-        def __init__(self):
-            self.dir = None
+        def __init__(self, master="local[2]"):
+            self.dir, self.master = None, master
 
         def getCheckpointDir(self):
             return self.dir
@@ -138,3 +140,9 @@ def test_checkpoint_dir_reads_the_session_setting_and_never_writes_it(spark, mon
     d = session.checkpoint_dir(fake)
     assert d and fake.sparkContext.dir == d
     assert session.checkpoint_dir(fake) == d            # stable once chosen
+
+    class _ClusterSession:            # a cluster that names no shared folder
+        conf, sparkContext = _Conf(), _Ctx(master="yarn")
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(_ClusterSession())
