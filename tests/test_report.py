@@ -146,3 +146,29 @@ def test_checkpoint_dir_reads_the_session_setting_and_never_writes_it(spark, mon
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(_ClusterSession())
+
+
+def test_cli_reads_parquet_tables(spark):
+    from crease.__main__ import main
+    from crease.sources.files import write_tables
+
+    d = tempfile.mkdtemp(prefix="crease-cli-pq-")
+    t = from_tpch(spark, SF_SMALL)
+    write_tables(t, f"{d}/tables")
+    assert main(["--deliveries", f"{d}/tables/deliveries", "--matches", f"{d}/tables/matches",
+                 "--out", f"{d}/out", "--reports", "top_runs,season_top_batter", "--no-stage"]) == 0
+    for n in ("top_runs", "season_top_batter"):
+        direct = QUERIES[n](t)
+        assert _rows(spark.read.parquet(f"{d}/out/{n}").select(*direct.columns)) == _rows(direct), n
+
+
+def test_staged_table_lives_under_the_checkpoint_folder(spark):
+    from crease.plans.report import stage_tables
+    from crease.session import checkpoint_dir
+    from tests.plan_text import plan_text
+
+    staged = stage_tables(spark, from_tpch(spark, SF_SMALL), name="staged-test", files=2)
+    scan = [ln for ln in plan_text(staged.deliveries, "simple").splitlines() if "FileScan parquet" in ln][0]
+    folder = checkpoint_dir(spark).split(":", 1)[-1]
+    assert folder in scan and "staged-test" in scan
+    assert staged.deliveries.count() == from_tpch(spark, SF_SMALL).deliveries.count()
