@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op4_toxicity": toxicity.query,
+    "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
