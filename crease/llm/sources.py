@@ -23,3 +23,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary file ``name`` lies (on every executor)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
