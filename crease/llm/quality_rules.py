@@ -123,9 +123,11 @@ def apply_rules(docs: DataFrame, weights: np.ndarray, text_col: str = "text", th
     ``llr >= threshold``.  A null or empty text has 0 words and fails.
     """
 
+    cols_in = list(dict.fromkeys([*carry, text_col]))
+
     def judge(batches):
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(cols_in.index(text_col))
             for lo, hi in row_slices(texts):
                 part = texts.slice(lo, hi - lo)
                 s = split(part)
@@ -136,12 +138,11 @@ def apply_rules(docs: DataFrame, weights: np.ndarray, text_col: str = "text", th
                                       | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"]))
                 out["llr"] = np.bincount(of, weights[at], minlength=hi - lo) / (n + PRIOR_NGRAMS)
                 out["kept"] = ~out["base_failed"] & (out["llr"] >= threshold)
-                cols = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)]
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, out.values())], [*carry, *out])
 
     schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(RULES).fields])
-    picked = docs.select(*carry, F.col(text_col).alias("_text"))
-    return picked.mapInArrow(judge, schema)
+    return docs.select(*cols_in).mapInArrow(judge, schema)
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("doc_id",),

@@ -105,23 +105,24 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
     """``carry`` columns, ``score`` in [0, 1] and ``predicted`` for every row.
     Null and empty texts get the bias's score."""
     places, values = model
+    cols_in = list(dict.fromkeys([*carry, text_col]))
 
     def judge(batches):
         w = np.zeros(DIM + 1)
         w[places] = values
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(cols_in.index(text_col))
             for lo, hi in row_slices(texts):
                 at, off = features(texts.slice(lo, hi - lo))
                 total = np.concatenate([[0.0], np.cumsum(w[at])])
                 p = 1 / (1 + np.exp(-np.clip(w[_BIAS] + total[off[1:]] - total[off[:-1]], -35, 35)))
-                cols = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)]
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                                  [*carry, "score", "predicted"])
 
     schema = T.StructType([*(docs.schema[c] for c in carry),
                            *T._parse_datatype_string("score double, predicted int").fields])
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(judge, schema)
+    return docs.select(*cols_in).mapInArrow(judge, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
