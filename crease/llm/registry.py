@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import dac, jaccard_join, packing, quality_rules, substring_dedup, toxicity
+from . import cross_polytope, dac, jaccard_join, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
     "op5_dac": dac.query,
+    "op6_cross_polytope": cross_polytope.query,
     "op8_jaccard_join": jaccard_join.query,
     "op10_quality_rules": quality_rules.query,
 }
