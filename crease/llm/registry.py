@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import cross_polytope, dac, jaccard_join, packing, quality_rules, substring_dedup, toxicity
+from . import cross_polytope, dac, jaccard_join, language_id, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
