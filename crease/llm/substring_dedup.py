@@ -28,34 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, block_bounds, block_of
+from .hashes import bucket_edges, pack, unpack
 from .textops import covered, owner, row_slices, split, windows
 
 WIDTH = 50
-MIN_BUCKETS = 256
-BLOCKS_A_BUCKET = 4     # a bucket gathers about as many hashes as this many blocks send
 
 _PACKED = "block int, bucket int, hashes binary"
 
 
-def _pack(h: np.ndarray) -> bytes:
-    """The lower 56 bits of each hash; the bucket keeps the upper ones."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-
-
-def _unpack(raw: bytes, top: int) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    out[:, 7] = top
-    return out.view("<u8").ravel()
-
-
-def _bucket_edges(buckets: int) -> np.ndarray:
-    """First hash of each bucket; a bucket never mixes two upper bytes."""
-    a_byte = -(-buckets // 256)
-    inside = [k * (1 << 56) // a_byte for k in range(a_byte)]
-    return np.array([(top << 56) + x for top in range(256) for x in inside], np.uint64)
-
-
 def _block_windows(table: pa.Table, text_col: str, id_col: str, width: int):
     """(row, first word, hash) of the windows of a block's rows that have an id."""
     texts, ids = table[text_col].combine_chunks(), table[id_col].combine_chunks()
@@ -82,13 +62,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounds = block_bounds(docs, id_col, text_col, block_bytes)
     cols = list(dict.fromkeys([id_col, text_col, *carry]))
     dealt = docs.select(*[F.col(c) for c in cols], block_of(id_col, bounds).alias("_block"))
-    edges = _bucket_edges(max(MIN_BUCKETS, (len(bounds) + 1) // BLOCKS_A_BUCKET))
+    edges = bucket_edges(len(bounds) + 1)
 
     def send(key, table):
         found = [h for *_, h in _block_windows(table, text_col, id_col, width)]
         h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         at = np.searchsorted(h, edges)
-        parts = [(b, _pack(h[lo:hi])) for b, (lo, hi) in enumerate(itertools.pairwise([*at, len(h)])) if hi > lo]
+        parts = [(b, pack(h[lo:hi])) for b, (lo, hi) in enumerate(itertools.pairwise([*at, len(h)])) if hi > lo]
         return pa.table({"block": pa.array([key[0].as_py()] * len(parts), pa.int32()),
                          "bucket": pa.array([b for b, _ in parts], pa.int32()),
                          "hashes": pa.array([p for _, p in parts], pa.binary())})
@@ -98,7 +78,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bucket = key[0].as_py()
         top = int(edges[bucket]) >> 56
         table = table.sort_by("block")
-        parts = [_unpack(r.as_py(), top) for r in table["hashes"]]
+        parts = [unpack(r.as_py(), top) for r in table["hashes"]]
         blocks = np.repeat(table["block"].to_numpy(), [len(p) for p in parts])
         h = np.concatenate(parts)
         order = np.argsort(h, kind="stable")           # ascending block inside a hash
@@ -108,13 +88,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order = np.lexsort((h, blocks))
         h, blocks = h[order], blocks[order]
         names, first = np.unique(blocks, return_index=True)
-        packs = [_pack(h[lo:hi]) for lo, hi in itertools.pairwise([*first, len(h)])]
+        packs = [pack(h[lo:hi]) for lo, hi in itertools.pairwise([*first, len(h)])]
         return pa.table({"block": pa.array(names, pa.int32()),
                          "bucket": pa.array([bucket] * len(packs), pa.int32()),
                          "hashes": pa.array(packs, pa.binary())})
 
     def cut(key, table, seen):
-        known = [_unpack(r.as_py(), int(edges[b.as_py()]) >> 56) for b, r in zip(seen["bucket"], seen["hashes"])]
+        known = [unpack(r.as_py(), int(edges[b.as_py()]) >> 56) for b, r in zip(seen["bucket"], seen["hashes"])]
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         pieces = list(_block_windows(table, text_col, id_col, width))
         h = np.concatenate([p[5] for p in pieces]) if pieces else np.zeros(0, np.uint64)
