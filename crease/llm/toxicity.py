@@ -34,15 +34,19 @@ _BIAS = DIM          # the bias's place in the weight vector; never penalised
 _SKIP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, offsets): the distinct buckets of every text, text by text."""
+def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, offsets): the distinct buckets of every text, text by text; only
+    ``wanted`` ones (a mask over the buckets), if given."""
     s = split(texts, BARE_WORDS, lower=True)
     of = owner(s.offsets)
     pair_at, pair = windows(s.hash, s.offsets, 2)
     skip_at, _ = windows(s.hash, s.offsets, 3)
     skip = mix(s.hash[skip_at] * _SKIP + s.hash[skip_at + 2]) if len(skip_at) else pair[:0]
     bucket = (np.concatenate([s.hash, pair, skip]) & np.uint64(DIM - 1)).astype(np.int64)
-    key = np.unique(np.concatenate([of, of[pair_at], of[skip_at]]) * DIM + bucket)
+    of = np.concatenate([of, of[pair_at], of[skip_at]])
+    if wanted is not None:
+        of, bucket = of[wanted[bucket]], bucket[wanted[bucket]]
+    key = np.unique(of * DIM + bucket)
     return key % DIM, np.searchsorted(key, np.arange(len(texts) + 1) * DIM)
 
 
@@ -110,10 +114,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
     def judge(batches):
         w = np.zeros(DIM + 1)
         w[places] = values
+        wanted = w[:DIM] != 0
         for b in batches:
             texts = b.column(cols_in.index(text_col))
             for lo, hi in row_slices(texts):
-                at, off = features(texts.slice(lo, hi - lo))
+                at, off = features(texts.slice(lo, hi - lo), wanted)
                 total = np.concatenate([[0.0], np.cumsum(w[at])])
                 p = 1 / (1 + np.exp(-np.clip(w[_BIAS] + total[off[1:]] - total[off[:-1]], -35, 35)))
                 cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carry))]
