@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross_polytope, dac, jaccard_join, katz, language_id, packing, quality_rules, substring_dedup, toxicity
+from . import cross_polytope, dac, jaccard_join, katz, language_id, packing, quality_rules, sentencepiece_lattice, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_dac": dac.query,
     "op6_cross_polytope": cross_polytope.query,
+    "op7_sentencepiece": sentencepiece_lattice.query,
     "op8_jaccard_join": jaccard_join.query,
     "op9_katz": katz.query,
     "op10_quality_rules": quality_rules.query,
