@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("key", "text_id", "n_copies", F.coalesce("class_id", "text_id").alias("class_id"),
                     F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
                     (F.coalesce("docs", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")))
+    info = stored(info, "info")            # a plain shuffle on either side: the skew join can split a class's copies
     out = sketch.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(info, "key", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
                       F.coalesce("text_id", "id").alias("text_id"),
