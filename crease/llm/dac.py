@@ -102,7 +102,7 @@ class Reader:
             seen = np.where(window < len(bits), bits[np.minimum(window, len(bits) - 1)], 0).astype(np.uint8)
             unpacked = np.unpackbits(seen, axis=1, bitorder="little")
             before = np.arange(RANK_BITS) < (at % RANK_BITS)[:, None]
-            at = ranks[group].astype(np.int64) + (unpacked * before).sum(1)
+            at = ranks[group].astype(np.int64) + (unpacked * before).sum(1, dtype=np.int64)
         return out
 
 

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import block_bounds, block_of
 from .textops import _power_tables, mix
@@ -339,7 +340,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             out = [None if not v else t.removeprefix(" ") for t, v in zip(out, ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, "decoded"])
 
-    return encoded.mapInArrow(texts, encoded.schema.add("decoded", "string"))
+    return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def query(spark, sf_dir: str, path: str | None = None) -> DataFrame:

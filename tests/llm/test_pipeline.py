@@ -1,0 +1,67 @@
+"""The stages take effect, keep clean documents and carry odd columns."""
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline as p
+from crease.llm.sources import stored
+
+from .helpers import frame
+
+DIR = "/root/testdata/sf0.01"
+
+
+def test_stages_on_the_test_documents(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
+    marked = {k: {r.doc_id for r in labels.where(f"{k} = {v}").collect()} for k, v in (("toxic", 1), ("quality", 0))}
+    after = {}
+    for name, stage in p.STAGES[:-1]:
+        new = stored(stage(spark, docs, DIR), name)
+        assert new.schema == docs.schema and ids(new) <= ids(docs)
+        gone = ids(docs) - ids(new)
+        if name == "toxicity":
+            assert len(gone & marked["toxic"]) >= 0.8 * len(marked["toxic"]) and not gone & ids(labels.where("toxic = 0"))
+        if name == "quality_rules":
+            assert not ids(new) & marked["quality"]
+        after[name] = docs = new
+    assert ids(after["substring_dedup"]) == ids(after["jaccard_join"])
+    changed = (after["substring_dedup"].alias("a").join(after["jaccard_join"].alias("b"), "doc_id")
+               .where("a.text <> b.text"))
+    assert changed.count() > 0
+    assert changed.where("a.n_chars <> char_length(a.text) OR length(a.text) >= length(b.text)").count() == 0
+    pieces = p.STAGES[-1][1](spark, docs, DIR)
+    assert ids(pieces) == ids(docs)
+    assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_run_equals_the_stages(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in p.STAGES:
+        docs = stored(stage(spark, docs, d), name)
+    assert sorted(map(tuple, p.run(spark, d).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    clash = ("score", "predicted", "kept", "n_words", "kept_text", "_c0", "class_id", "_id", "id", "_block", "span")
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "s", 0), (1, words, "en", "s", 0), (2, words + " more", "en", None, None), (None, words, None, None, 0),
+            (4, None, None, None, None)]
+    docs = frame(spark, rows).withColumns({c: F.lit(c) for c in clash})
+    docs = stored(docs, "clash")
+    for name, stage in p.STAGES[:-1]:
+        new = stage(spark, docs, DIR)
+        assert new.columns == docs.columns
+        new = stored(new, name)
+        assert {r.score for r in new.collect()} <= {"score"}
+        docs = new
+    assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1]
+    assert p.STAGES[-1][1](spark, docs, DIR).agg(F.countDistinct(F.coalesce("doc_id", F.lit(0)))).first()[0] == 2
+
+
+def test_empty_input(spark):
+    docs = frame(spark, []).limit(0)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, DIR)
+        assert docs.count() == 0
