@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--null-value", default="NA", help="CSV text read as NULL (empty cells always are)")
     ap.add_argument("--out", help="output folder; one parquet folder per report")
     ap.add_argument("--reports", default="", help="comma-separated report names (default: all)")
-    ap.add_argument("--no-stage", action="store_true", help="read the source in every report")
+    ap.add_argument("--stage", action="store_true", help="write the source once as parquet and read that in every report")
     ap.add_argument("--list", action="store_true", help="print report names and exit")
     args = ap.parse_args(argv)
 
@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         tables = Tables(spark.read.parquet(args.deliveries), spark.read.parquet(args.matches))
     names = [n for n in args.reports.split(",") if n] or None
-    for name, path in run_report(spark, tables, args.out, names, stage=not args.no_stage).items():
+    for name, path in run_report(spark, tables, args.out, names, stage=args.stage).items():
         print(f"{name}\t{path}")
     return 0
 

@@ -81,8 +81,10 @@ def per_over(mean: Column, digits: int = 2) -> Column:
 def canonical(col: str | Column, aliases: Mapping[str, str]) -> Column:
     """Replace a known alias by its canonical name; other values pass through.
 
-    The alias table is a literal map (a few dozen entries), so the lookup is a
-    codegen'd expression: no join, no broadcast, no shuffle.
+    The alias table is a literal map, so the lookup is a codegen'd expression:
+    no join, no broadcast, no shuffle.  It is searched entry by entry for every
+    row, which is right for the few dozen entries here; a table that grows
+    belongs in a join.
     """
     c = _c(col)
     lookup = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
@@ -104,20 +106,15 @@ def raw_names(canonical_names: Iterable[str], aliases: Mapping[str, str]) -> lis
 # ------------------------------------------------------------ match labels
 def win_margin_category(result: str | Column = "result",
                         margin: str | Column = "result_margin") -> Column:
-    """High / Medium / Low by runs (100, 50, 1) or wickets (8, 4, 1), else No Result."""
-    r = F.trim(F.lower(_c(result)))
-    m = _c(margin)
-    by_runs = r == C.RESULT_RUNS
-    by_wkts = r == C.RESULT_WICKETS
-    return (
-        F.when(by_runs & (m >= 100), C.MARGIN_HIGH)
-        .when(by_runs & (m >= 50) & (m < 100), C.MARGIN_MEDIUM)
-        .when(by_runs & (m >= 1) & (m < 50), C.MARGIN_LOW)
-        .when(by_wkts & (m >= 8), C.MARGIN_HIGH)
-        .when(by_wkts & (m >= 4) & (m < 8), C.MARGIN_MEDIUM)
-        .when(by_wkts & (m >= 1) & (m < 4), C.MARGIN_LOW)
-        .otherwise(C.NO_RESULT)
-    )
+    """The label of the highest step of ``constants.MARGINS`` that the margin
+    reaches, by kind of result (case and space insensitive); else No Result."""
+    kind, out = F.trim(F.lower(_c(result))), F.lit(C.NO_RESULT)
+    for name, steps in C.MARGINS.items():
+        label = F.lit(C.NO_RESULT)
+        for step, least in sorted(steps.items(), key=lambda s: s[1]):      # the highest step reached wins
+            label = F.when(_c(margin) >= least, F.lit(step)).otherwise(label)
+        out = F.when(kind == name, label).otherwise(out)
+    return out
 
 
 def toss_match_winner(toss_winner: str | Column = "toss_winner",

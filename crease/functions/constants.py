@@ -79,8 +79,15 @@ SEASON_ORDER = (
 ALL_TEAMS = "All_Teams"
 MARGIN_HIGH, MARGIN_MEDIUM, MARGIN_LOW, NO_RESULT = "High", "Medium", "Low", "No Result"
 RESULT_RUNS, RESULT_WICKETS = "runs", "wickets"
+LABEL_JOINER = " in "
+# least margin of each label, by kind of result
+MARGINS = {
+    RESULT_RUNS: {MARGIN_HIGH: 100, MARGIN_MEDIUM: 50, MARGIN_LOW: 1},
+    RESULT_WICKETS: {MARGIN_HIGH: 8, MARGIN_MEDIUM: 4, MARGIN_LOW: 1},
+}
 
-# Match shape: overs are zero-based, 20 per innings; a phase is 4 overs.
+# --- fixed values: match shape (overs are zero-based, 20 per innings; a phase
+# is 4 overs), power-play bounds and board length ------------------------------
 OVERS_PER_INNINGS = 20
 OVERS_PER_PHASE = 4
 BALLS_PER_OVER = 6

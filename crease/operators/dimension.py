@@ -1,97 +1,37 @@
-"""Fact -> dimension aggregation with a size-checked broadcast.
+"""Fact -> dimension aggregation: pre-aggregate, join, merge.
 
 ``rollup_by_dimension`` groups fact rows by keys of their own plus attributes
-of the dimension row they join to.  It picks one of two plans:
-
-* **Dimension proven small** (at most ``max_rows`` rows and
-  ``BROADCAST_MAX_BYTES`` of projected values, checked by one bounded job)
-  and the grouping drops the dimension key: broadcast the
-  projected dimension, join first, aggregate after.  The fact side is never
-  shuffled; only partial aggregates are.
-* **Otherwise**: aggregate the fact side per (dimension key, own keys) first
-  -- map-side partial aggregation collapses a hot dimension key inside each
-  task -- then join the reduced rows (broadcast when proven small; else Spark
-  chooses from its size estimates, and AQE can still switch to broadcast at
-  run time) and merge.
-
-The check runs once per dimension DataFrame object (memoised), so a report
-run pays for it once.  Measures must merge by summation (sum, count).
+of the dimension row they join to.  There is one plan whatever the sizes: the
+fact side is aggregated per (dimension key, own keys) first -- map-side partial
+aggregation collapses a hot dimension key inside each task -- the reduced rows
+join the dimension without a hint, and the merged sums are grouped again.
+Spark sizes the join; with adaptive execution it broadcasts a side that turns
+out small at run time and splits a skewed one otherwise.  Building the frame
+runs no job.  Measures must merge by summation (sum, count).
 """
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A broadcast side is accepted when both bounds hold for the projected rows.
-# 100k rows of an id plus one or two strings, at most 32 MB of values, is a
-# small hash relation next to any executor's memory.
-BROADCAST_MAX_ROWS = 100_000
-BROADCAST_MAX_BYTES = 32 << 20
-
-_bounded: "weakref.WeakKeyDictionary[DataFrame, dict[tuple, bool]]" = weakref.WeakKeyDictionary()
-
-
-def _value_bytes(side: DataFrame) -> Column:
-    """Bytes of the values in one row: string/binary lengths, 8 per other value."""
-    parts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
-             if f.dataType.typeName() in ("string", "binary") else F.lit(8)
-             for f in side.schema.fields]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total.cast("long")
-
-
-def fits_broadcast(dim: DataFrame, side: DataFrame, max_rows: int,
-                   max_bytes: int = BROADCAST_MAX_BYTES, projection: tuple = ()) -> bool:
-    """True when ``side`` (a projection of ``dim``) has at most ``max_rows`` rows
-    and at most ``max_bytes`` of values.
-
-    One bounded job: count and size the first ``max_rows + 1`` rows (on a
-    stored table the scan stops there; when ``dim`` is itself an aggregate,
-    like the test adapter's match table, its input is aggregated once).  The
-    answer is remembered per ``dim`` object and ``projection`` (a hashable
-    description of how ``side`` was projected from ``dim``).
-    """
-    memo = _bounded.setdefault(dim, {})
-    key = (projection, side.schema.simpleString(), max_rows, max_bytes)
-    if key not in memo:
-        if max_rows <= 0:
-            memo[key] = False
-        else:
-            row = (side.limit(max_rows + 1)
-                   .agg(F.count(F.lit(1)).alias("n"), F.sum(_value_bytes(side)).alias("b")).first())
-            memo[key] = row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
-    return memo[key]
-
 
 def rollup_by_dimension(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
                         attrs: Sequence[Column], keys: Sequence[str],
-                        measures: dict[str, Column], max_rows: int | None = None) -> DataFrame:
+                        measures: dict[str, Column]) -> DataFrame:
     """``fact ⋈ dim`` grouped by ``keys + attrs``, with summable ``measures``.
 
     ``attrs`` are named Columns over ``dim`` (e.g. ``F.col("season")``);
     ``measures`` maps output names to aggregate Columns over ``fact`` whose
     partial results add up (``sum``, ``count``).  Inner-join semantics: fact
-    rows without a dimension row are dropped.  ``max_rows`` defaults to the
-    module's ``BROADCAST_MAX_ROWS`` at call time.
+    rows without a dimension row are dropped (``sources.files.key_nulls``
+    counts those whose key is NULL).
     """
-    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     side = dim.select(F.col(dim_key).alias("_dim_key"), *attrs)
     names = side.columns[1:]
-    small = fits_broadcast(dim, side, max_rows, projection=(dim_key, *map(repr, attrs)))
-    if small and fact_key not in keys:
-        joined = fact.join(F.broadcast(side), fact[fact_key] == side["_dim_key"], "inner")
-        return joined.groupBy(*keys, *names).agg(*[m.alias(n) for n, m in measures.items()])
-    # Pre-aggregate per (dimension key, own keys).  When the own keys include
-    # the dimension key this is already the output grain, the join sees the
-    # reduced rows, and the final grouping reuses the pre-aggregate's
-    # partitioning (no further exchange).
     pre_keys = [fact_key] + [k for k in keys if k != fact_key]
     partial = fact.groupBy(*pre_keys).agg(*[m.alias(f"_p_{n}") for n, m in measures.items()])
-    joined = partial.join(F.broadcast(side) if small else side, partial[fact_key] == side["_dim_key"], "inner")
+    joined = partial.join(side, partial[fact_key] == side["_dim_key"], "inner")
     return joined.groupBy(*keys, *names).agg(*[F.sum(f"_p_{n}").alias(n) for n in measures])

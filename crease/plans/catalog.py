@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..functions import constants as C
 from ..sources.adapter import Tables
 from . import cleaning as cl
 from . import faceoffs as fo
@@ -60,6 +61,7 @@ QUERIES: dict[str, Report] = {
     "season_top_bowler_ties": lambda t: se.season_top_bowler(t.deliveries, t.matches, keep_ties=True),
     "season_innings_totals": _joined(se.season_innings_totals),
     "season_innings_box": _joined(se.season_innings_box),
+    "season_innings_box_ordered": lambda t: se.season_innings_box(t.deliveries, t.matches, seasons=C.SEASON_ORDER),
     # venue reports
     "venue_innings_avg": _joined(ve.venue_innings_avg),
     "venue_innings_matrix": _joined(ve.venue_innings_matrix),

@@ -1,12 +1,10 @@
 """Run many reports in one go and write each result as parquet.
 
 Every report is a separate job writing its own output folder; nothing is
-collected to the driver.  With ``stage=True`` the deliveries frame (whatever
-it is derived from) is first written once as a parquet table under the
-cluster's checkpoint folder and every report reads that table: the source is
-parsed once, lineage is cut there (a lost executor recomputes from the written
-table, not from the source), and the table is split into many files so later
-scans run in parallel.
+collected to the driver.  With ``stage=True`` (worth it where the source is
+slow to parse, e.g. CSV) the deliveries frame is first written once as a
+parquet table in a folder of this run's own under the cluster's checkpoint
+folder, every report reads that table, and the folder is deleted at the end.
 """
 
 from __future__ import annotations
@@ -15,36 +13,39 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
-from ..session import scratch_path
+from ..session import remove_path, scratch_path
 from ..sources.adapter import Tables
 from .catalog import QUERIES
 
 
-def stage_tables(spark: SparkSession, tables: Tables, name: str = "staged-deliveries",
-                 files: int | None = None) -> Tables:
-    """Write ``tables.deliveries`` once under the checkpoint folder; return readers.
+def stage_tables(spark: SparkSession, tables: Tables, path: str, files: int | None = None) -> Tables:
+    """Write ``tables.deliveries`` once to the new folder ``path``; return readers.
 
     ``files`` re-splits the written table (a round-robin exchange) when the
     source arrives in fewer, larger pieces than the cluster has cores.
     """
-    path = scratch_path(spark, name)
     d = tables.deliveries if files is None else tables.deliveries.repartition(files)
-    d.write.mode("overwrite").parquet(path)
-    return Tables(spark.read.parquet(path), tables.matches)
+    d.write.mode("errorifexists").parquet(path)
+    return Tables(spark.read.schema(d.schema).parquet(path), tables.matches)
 
 
 def run_report(spark: SparkSession, tables: Tables, out_dir: str, names: Iterable[str] | None = None,
-               *, stage: bool = True, files: int | None = None, mode: str = "overwrite") -> dict[str, str]:
+               *, stage: bool = False, files: int | None = None, mode: str = "overwrite") -> dict[str, str]:
     """Write each named report to ``out_dir/<name>``; returns name -> path."""
     names = list(names or QUERIES)
     unknown = [n for n in names if n not in QUERIES]
     if unknown:
         raise KeyError(f"unknown reports: {unknown}")
-    if stage:
-        tables = stage_tables(spark, tables, files=files)
+    staged = scratch_path(spark, "staged-deliveries") if stage else None
     out = {}
-    for n in names:
-        path = f"{out_dir.rstrip('/')}/{n}"
-        QUERIES[n](tables).write.mode(mode).parquet(path)
-        out[n] = path
+    try:
+        if staged:
+            tables = stage_tables(spark, tables, staged, files)
+        for n in names:
+            path = f"{out_dir.rstrip('/')}/{n}"
+            QUERIES[n](tables).write.mode(mode).parquet(path)
+            out[n] = path
+    finally:
+        if staged:
+            remove_path(spark, staged)
     return out

@@ -10,21 +10,21 @@ from ..functions import constants as C
 from ..operators.dimension import rollup_by_dimension
 from ..operators.matrix import to_matrix
 
-INNINGS = [1, 2]
+INNINGS = [1, 2]      # every innings the report keeps
 
 
-def venue_innings_avg(deliveries: DataFrame, matches: DataFrame,
-                      max_rows: int | None = None) -> DataFrame:
+def venue_innings_avg(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     """Mean first- and second-innings total per venue, rounded up.
 
-    Super overs (innings above 2) are left out.  Innings totals are built
+    Super overs (innings above 2) are left out; so is an innings below 1,
+    which is no innings.  Innings totals are built
     first (one row per match and innings, with the match's canonical venue;
     see ``operators.dimension``), then averaged per venue.
     """
     innings = rollup_by_dimension(
-        deliveries.where(F.col("inning") <= 2), "match_id", matches, "id",
+        deliveries.where(F.col("inning").isin(*INNINGS)), "match_id", matches, "id",
         [X.canonical("venue", C.VENUE_ALIASES).alias("venue")], ["match_id", "inning"],
-        {"_r": F.sum("total_runs")}, max_rows)
+        {"_r": F.sum("total_runs")})
     return innings.groupBy("venue", "inning").agg(
         F.ceil(X.ratio(F.sum("_r"), F.count_distinct("match_id"))).alias("Average_Score"))
 
@@ -38,8 +38,10 @@ def venue_max_chase(matches: DataFrame) -> DataFrame:
 
     A chase is a match whose ``result`` is exactly ``wickets`` (no trimming or
     case folding here).  Venues with no name or no target are left out.
+    Highest target first (then by name).
     """
     return (matches.where(F.col("result") == C.RESULT_WICKETS)
             .select(X.canonical("venue", C.VENUE_ALIASES).alias("venue"), "target_runs")
             .groupBy("venue").agg(F.max("target_runs").alias("Highest_Chased_Total"))
-            .where(F.col("venue").isNotNull() & F.col("Highest_Chased_Total").isNotNull()))
+            .where(F.col("venue").isNotNull() & F.col("Highest_Chased_Total").isNotNull())
+            .orderBy(F.desc("Highest_Chased_Total"), F.asc("venue")))

@@ -7,8 +7,8 @@ for tests, tools and the local bench only.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,5 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a written intermediate table under the checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{os.getpid()}"
+    """A new path under the checkpoint folder, never given out twice: it holds
+    the application's id and a random one."""
+    return f"{checkpoint_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours from whatever store it lies in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

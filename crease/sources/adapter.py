@@ -1,19 +1,16 @@
 """Project the driver's order tables onto the two ball-by-ball tables.
 
 The test data has no cricket tables, so ``lineitem`` (one row per line) stands
-in for deliveries and ``orders`` for matches.  Every ``lineitem`` row becomes a
-delivery; every block of 25 consecutive order keys becomes one match: all
-orders are grouped by block, and the match takes its attributes from the
-block's first order (``min_by`` over the order key).  This is a change of
-grain, not a sample: every order is read and aggregated, each delivery's
-``match_id`` is its block key, and every delivery joins exactly one match.
+in for deliveries and ``orders`` for matches: every line is a delivery, every
+order is a match, and a line's match is its order.
 
 Each column is one SQL expression accepted as written by Spark SQL and by
 DuckDB; the same text builds the oracle's CTEs (``oracle_ctes``) and, except
 for one column written as a map lookup (see ``_SPARK_EXPRS``), the Spark
-frames (``from_tpch``).  The projection is narrow (no shuffle); the
+frames (``from_tpch``).  Both projections are narrow (no shuffle); the
 parquet reader only fetches the seven ``lineitem`` / five ``orders`` columns
-the expressions use.
+the expressions use.  A file's column types are looked up once per process;
+its file list is read anew for every frame.
 """
 
 from __future__ import annotations
@@ -22,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .schemas import DELIVERIES_SCHEMA, MATCHES_SCHEMA
 
@@ -37,6 +35,8 @@ _VENUES = (
     "M Chinnaswamy Stadium", "M.Chinnaswamy Stadium", "Eden Gardens", "Feroz Shah Kotla",
     "Arun Jaitley Stadium", "Wankhede Stadium", "Wankhede Stadium, Mumbai", "Brabourne Stadium",
 )
+# Season labels of the order years from 1992; later years stay plain years.
+_SEASONS = ("2007/08", "2009", "2009/10", "2011", "2020/21", "2024")
 
 
 def _case(key: str, names: tuple[str, ...]) -> str:
@@ -50,7 +50,7 @@ _EXTRA = "CASE WHEN ROUND(l_discount*100) <= 4 THEN 1 ELSE 0 END"
 _WKT = "ROUND(l_tax*100) = 0"
 
 DELIVERY_EXPRS: tuple[tuple[str, str], ...] = (
-    ("match_id", "CAST(l_orderkey - l_orderkey % 25 AS INT)"),
+    ("match_id", "l_orderkey"),
     ("inning", "CAST(1 + l_suppkey % 2 + CASE WHEN l_partkey % 211 = 0 THEN 2 ELSE 0 END AS INT)"),
     ("batting_team", _case("l_suppkey % 14", _TEAMS)),
     ("bowling_team", _case("(l_suppkey + 5) % 14", _TEAMS)),
@@ -73,12 +73,10 @@ DELIVERY_EXPRS: tuple[tuple[str, str], ...] = (
                 "THEN concat('F', CAST(l_orderkey % 43 AS STRING)) END"),
 )
 
-# One row per block of 25 order keys: the block key and its first order's columns.
-MATCH_BLOCK = "o_orderkey - o_orderkey % 25"
-ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 MATCH_EXPRS: tuple[tuple[str, str], ...] = (
-    ("id", "CAST(_block AS INT)"),
-    ("season", "CAST(YEAR(o_orderdate) AS STRING)"),
+    ("id", "o_orderkey"),
+    ("season", "CASE YEAR(o_orderdate) " + " ".join(f"WHEN {1992 + i} THEN '{x}'" for i, x in enumerate(_SEASONS))
+               + " ELSE CAST(YEAR(o_orderdate) AS STRING) END"),
     ("city", "concat('C', CAST(o_custkey % 9 AS STRING))"),
     ("date", "CAST(o_orderdate AS DATE)"),
     ("match_type", "CASE WHEN o_custkey % 19 = 0 THEN 'Final' ELSE 'League' END"),
@@ -130,17 +128,22 @@ def deliveries_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def matches_from_orders(orders: DataFrame) -> DataFrame:
-    """One match per block of 25 order keys (a partial+final aggregate over all orders)."""
-    first = (orders.where(F.col("o_orderkey").isNotNull())
-             .groupBy(F.expr(MATCH_BLOCK).alias("_block"))
-             .agg(F.min_by(F.struct(*ORDER_COLUMNS), F.col("o_orderkey")).alias("_first")))
-    return first.select("_block", "_first.*").select(*[F.expr(e).alias(n) for n, e in MATCH_EXPRS])
+    return orders.select(*[F.expr(e).alias(n) for n, e in MATCH_EXPRS])
+
+
+_known_types: dict[str, StructType] = {}
+
+
+def _types(spark: SparkSession, path: str) -> StructType:
+    if path not in _known_types:
+        _known_types[path] = spark.read.parquet(path).schema
+    return _known_types[path]
 
 
 def from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy ``Tables`` over ``{sf_dir}/lineitem.parquet`` and ``orders.parquet``."""
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    read = lambda path: spark.read.schema(_types(spark, path)).parquet(path)
+    lineitem, orders = read(f"{sf_dir}/lineitem.parquet"), read(f"{sf_dir}/orders.parquet")
     return Tables(deliveries_from_lineitem(lineitem), matches_from_orders(orders))
 
 
@@ -152,8 +155,4 @@ def oracle_ctes() -> str:
     """``WITH deliveries AS (...), matches AS (...)`` for DuckDB."""
     d = ",\n  ".join(f"{e} AS {_quote(n)}" for n, e in DELIVERY_EXPRS)
     m = ",\n  ".join(f"{e} AS {_quote(n)}" for n, e in MATCH_EXPRS)
-    first = ", ".join(f"arg_min({c}, o_orderkey) AS {c}" for c in ORDER_COLUMNS)
-    blocks = (f"SELECT {MATCH_BLOCK} AS _block, {first} FROM orders "
-              "WHERE o_orderkey IS NOT NULL GROUP BY 1")
-    return (f"WITH deliveries AS (SELECT\n  {d}\nFROM lineitem),\n"
-            f"matches AS (SELECT\n  {m}\nFROM ({blocks}))")
+    return f"WITH deliveries AS (SELECT\n  {d}\nFROM lineitem),\nmatches AS (SELECT\n  {m}\nFROM orders)"

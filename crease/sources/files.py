@@ -7,11 +7,16 @@ pushdown reach the scan.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .adapter import Tables
 from .schemas import DELIVERIES_SCHEMA, MATCHES_SCHEMA
 
+KEYS = {"deliveries": ("match_id", "inning", "over", "ball"), "matches": ("id",)}
+
 
 def read_csv(spark: SparkSession, path: str, schema, *, null_value: str | None = "NA",
              strict_header: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
@@ -45,21 +50,41 @@ def read_tables(spark: SparkSession, root: str) -> Tables:
 
 
 def write_tables(tables: Tables, root: str, *, mode: str = "errorifexists") -> None:
-    """Write both tables as parquet under ``root``.
+    """Write both tables as parquet under ``root``, in the order they come (no
+    report filters by match, so sorting all balls by it would buy nothing)."""
+    tables.deliveries.write.mode(mode).parquet(f"{root}/deliveries")
+    tables.matches.write.mode(mode).parquet(f"{root}/matches")
+
+
+@dataclass(frozen=True)
+class Ingested(Tables):
+    """The written tables and, per key column, how many rows hold no key."""
 
-    Deliveries are clustered by ``match_id`` inside each file (a local sort,
-    no global ordering), so min/max statistics let a match-range filter skip
-    row groups; matches are small and written as they come.
+    key_nulls: dict[str, int]
+
+
+def key_nulls(tables: Tables) -> DataFrame:
+    """One row per key column: ``table``, ``column``, ``rows``, ``nulls``.
+
+    A key that fails to parse becomes NULL, and its row then drops out of joins
+    and matrices; one aggregate over each table says how many there are.
     """
-    (tables.deliveries.sortWithinPartitions("match_id", "inning")
-     .write.mode(mode).parquet(f"{root}/deliveries"))
-    tables.matches.write.mode(mode).parquet(f"{root}/matches")
+    parts = []
+    for name, keys in KEYS.items():
+        df = getattr(tables, name)
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(k).isNull()).alias(k) for k in keys])
+        parts.append(counts.select(F.lit(name).alias("table"), "rows", F.expr(
+            f"stack({len(keys)}, " + ", ".join(f"'{k}', `{k}`" for k in keys) + ") AS (column, nulls)")))
+    return parts[0].union(parts[1]).select("table", "column", "rows", "nulls")
 
 
 def ingest_csv(spark: SparkSession, deliveries_csv: str, matches_csv: str, root: str,
-               **csv_options) -> Tables:
-    """CSV exports -> parquet tables under ``root``; returns readers over them."""
+               **csv_options) -> Ingested:
+    """CSV exports -> parquet tables under ``root``; returns readers over them
+    and the null counts of their key columns (``deliveries.match_id`` etc.)."""
     raw = Tables(read_deliveries_csv(spark, deliveries_csv, **csv_options),
                  read_matches_csv(spark, matches_csv, **csv_options))
     write_tables(raw, root)
-    return read_tables(spark, root)
+    written = read_tables(spark, root)
+    counts = {f"{r.table}.{r.column}": r.nulls for r in key_nulls(written).collect()}     # one row per key column
+    return Ingested(written.deliveries, written.matches, counts)

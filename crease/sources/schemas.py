@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
-_I, _S = IntegerType(), StringType()
+_I, _L, _S = IntegerType(), LongType(), StringType()
 
 DELIVERIES_SCHEMA = StructType([
-    StructField("match_id", _I),
+    StructField("match_id", _L),
     StructField("inning", _I),
     StructField("batting_team", _S),
     StructField("bowling_team", _S),
@@ -27,7 +27,7 @@ DELIVERIES_SCHEMA = StructType([
 ])
 
 MATCHES_SCHEMA = StructType([
-    StructField("id", _I),
+    StructField("id", _L),
     StructField("season", _S),
     StructField("city", _S),
     StructField("date", DateType()),

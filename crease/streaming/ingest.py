@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import checkpoint_dir
 from ..sources.schemas import DELIVERIES_SCHEMA, MATCHES_SCHEMA
 
 
@@ -50,9 +49,10 @@ def ingest(spark: SparkSession, landing: str, table: str, kind: str = "deliverie
            checkpoint: str | None = None, **kw) -> StreamingQuery:
     """Start the ingest of ``landing/*`` into ``table`` for ``kind`` in {deliveries, matches}.
 
-    ``checkpoint`` defaults to ``<spark.checkpoint.dir>/ingest-<kind>`` (the
-    shared folder the cluster names); pass one explicitly per table.
+    ``checkpoint`` defaults to ``<table>/_ingest``: the file log belongs to the
+    table it fills, so two tables never share one and a restart, in whatever
+    application, finds it again.
     """
     schema = {"deliveries": DELIVERIES_SCHEMA, "matches": MATCHES_SCHEMA}[kind]
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/ingest-{kind}"
+    ckpt = checkpoint or f"{table.rstrip('/')}/_ingest"
     return append_to_table(read_stream(spark, landing, schema, fmt, **kw), table, ckpt, name=f"ingest_{kind}")

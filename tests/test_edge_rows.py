@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from crease.functions import constants as C
 from crease.plans import cleaning as cl
 from crease.plans import faceoffs as fo
 from crease.plans import leaderboards as lb
@@ -13,6 +12,39 @@ from crease.plans import venues as ve
 from tests.fixtures import ball, deliveries, match, matches
 
 
+SEASONS = ("2007/08", "2009", "2009/10", "2011", "2012", "2013", "2014", "2015", "2016", "2017", "2018", "2019", "2020/21",
+           "2021", "2022", "2023", "2024")
+TEAMS = {
+    "Kings XI Punjab": "Punjab Kings",
+    "Royal Challengers Bangalore": "Royal Challengers Bengaluru",
+    "Rising Pune Supergiant": "Rising Pune Supergiants",
+}
+VENUES = {
+    "M Chinnaswamy Stadium": "M Chinnaswamy Stadium, Bengaluru",
+    "M.Chinnaswamy Stadium": "M Chinnaswamy Stadium, Bengaluru",
+    "Himachal Pradesh Cricket Association Stadium": "Himachal Pradesh Cricket Association Stadium, Dharamsala",
+    "Sardar Patel Stadium, Motera": "Narendra Modi Stadium, Ahmedabad",
+    "Punjab Cricket Association Stadium, Mohali": "Punjab Cricket Association IS Bindra Stadium, Mohali",
+    "Punjab Cricket Association IS Bindra Stadium": "Punjab Cricket Association IS Bindra Stadium, Mohali",
+    "Punjab Cricket Association IS Bindra Stadium, Mohali, Chandigarh": "Punjab Cricket Association IS Bindra Stadium, Mohali",
+    "Maharashtra Cricket Association Stadium": "Maharashtra Cricket Association Stadium, Pune",
+    "Subrata Roy Sahara Stadium": "Maharashtra Cricket Association Stadium, Pune",
+    "Eden Gardens": "Eden Gardens, Kolkata",
+    "Arun Jaitley Stadium": "Arun Jaitley Stadium, Delhi",
+    "Feroz Shah Kotla": "Arun Jaitley Stadium, Delhi",
+    "Rajiv Gandhi International Stadium, Uppal": "Rajiv Gandhi International Stadium, Uppal, Hyderabad",
+    "Rajiv Gandhi International Stadium": "Rajiv Gandhi International Stadium, Uppal, Hyderabad",
+    "Wankhede Stadium": "Wankhede Stadium, Mumbai",
+    "Dr DY Patil Sports Academy": "Dr DY Patil Sports Academy, Mumbai",
+    "Zayed Cricket Stadium, Abu Dhabi": "Sheikh Zayed Stadium",
+    "MA Chidambaram Stadium, Chepauk": "MA Chidambaram Stadium, Chepauk, Chennai",
+    "MA Chidambaram Stadium": "MA Chidambaram Stadium, Chepauk, Chennai",
+    "Sawai Mansingh Stadium": "Sawai Mansingh Stadium, Jaipur",
+    "Dr. Y.S. Rajasekhara Reddy ACA-VDCA Cricket Stadium":
+        "Dr. Y.S. Rajasekhara Reddy ACA-VDCA Cricket Stadium, Visakhapatnam",
+}
+
+
 def rows(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()),
                   key=lambda t: tuple((v is not None, v if v is not None else 0) for v in t))
@@ -143,7 +175,7 @@ def test_season_label_stays_text_and_order_list_filters_box(spark):
     d = deliveries(spark, [ball(match_id=1, batsman_runs=5), ball(match_id=2, batsman_runs=7)])
     m = matches(spark, [match(id=1, season="2007/08"), match(id=2, season="1999")])
     assert rows(se.season_innings_totals(d, m), "season") == [("1999",), ("2007/08",)]
-    box = se.season_innings_box(d, m, seasons=C.SEASON_ORDER).collect()
+    box = se.season_innings_box(d, m, seasons=SEASONS).collect()
     assert [(r.season, r.season_order, r.n) for r in box] == [("2007/08", 1, 1)]
 
 
@@ -173,7 +205,8 @@ def test_team_aliases_canonicalised_and_panel_filter_uses_aliases(spark):
                            ball(batting_team="Deccan Chargers", batsman_runs=4)])
     clean = cl.clean_deliveries(d)
     teams = {r.batting_team for r in clean.collect()} | {r.bowling_team for r in clean.collect()}
-    assert not teams & set(C.TEAM_ALIASES)
+    assert not teams & {"Kings XI Punjab", "Royal Challengers Bangalore"}
+    assert {"Punjab Kings", "Royal Challengers Bengaluru"} <= teams
     got = mx.team_over_run_rate(d).collect()
     assert [(r.batting_team, r.Runs_Scored, r.Run_Rate) for r in got] == [("Punjab Kings", 6, 18.0)]
 
@@ -202,3 +235,101 @@ def test_venue_aliases_merge(spark):
                         match(id=2, venue="Arun Jaitley Stadium", result="wickets", target_runs=190),
                         match(id=3, venue=None, result="wickets", target_runs=250)])
     assert rows(ve.venue_max_chase(m), "venue", "Highest_Chased_Total") == [("Arun Jaitley Stadium, Delhi", 190)]
+
+
+def test_every_alias_by_its_literal_name(spark):
+    m = matches(spark, [match(id=i, venue=v) for i, v in enumerate(VENUES)] + [match(id=99, venue="Brabourne Stadium")])
+    got = {r.id: r.venue for r in cl.canonical_venues(m).collect()}
+    assert [got[i] for i in range(len(VENUES))] == list(VENUES.values()) and got[99] == "Brabourne Stadium"
+    d = deliveries(spark, [ball(ball=i, batting_team=t, bowling_team=t) for i, t in enumerate([*TEAMS, "Delhi Capitals"])])
+    got = {r.ball: (r.batting_team, r.bowling_team) for r in cl.canonical_teams(d).collect()}
+    assert [got[i] for i in range(4)] == [(t, t) for t in [*TEAMS.values(), "Delhi Capitals"]]
+
+
+def test_every_excluded_dismissal_kind(spark):
+    kinds = ["run out", "retired hurt", "hit wicket", "retired out", "obstructing the field", "bowled", "caught", "stumped", "lbw"]
+    d = deliveries(spark, [ball(batter=k, is_wicket=1, dismissal_kind=k) for k in kinds])
+    for keep in (False, True):
+        got = {r.batter for r in fo.faceoff_summary(d, keep_non_dismissals=keep).collect()}
+        assert got == {"bowled", "caught", "stumped", "lbw"}
+    legal = deliveries(spark, [ball(batter=str(k), extras_type=k) for k in
+                               ("wides", "noballs", "byes", "legbyes", "penalty", None)])
+    assert {r.batter for r in cl.legal_deliveries(legal).collect()} == {"byes", "legbyes", "penalty", "None"}
+
+
+def test_matrices_refuse_keys_off_their_list(spark):
+    import pytest
+
+    d = cl.clean_deliveries(deliveries(spark, [ball(over=3), ball(over=27, batsman_runs=6)]))
+    for report, more in ((mx.run_rate_matrix, range(30)), (mx.conceded_matrix, range(30)),
+                         (mx.wkts_taken_matrix, range(1, 9)), (mx.wkts_lost_matrix, range(1, 9))):
+        with pytest.raises(Exception, match="is not a column of the matrix: (27|7)"):
+            report(d).collect()
+        wide = report(d, list(more)).collect()
+        assert all(r["27" if len(more) == 30 else "7"] is not None for r in wide)
+
+
+def test_results_come_in_their_order(spark):
+    d = deliveries(spark, [ball(batting_team=t, bowling_team=t, over=o, batsman_runs=o)
+                           for t in ("Mumbai Indians", "Gujarat Titans", "Punjab Kings") for o in (1, 0, 7)])
+    clean = cl.clean_deliveries(d)
+    down = [(t, o) for t in ("Punjab Kings", "Mumbai Indians", "Gujarat Titans") for o in (7, 1, 0)]
+    assert [(r.batting_team, r.over) for r in mx.team_over_run_rate(d).collect()] == down
+    assert [(r.bowling_team, r.over) for r in mx.conceded_long(clean).collect()] == down
+    phases = [(t, o) for t in ("Punjab Kings", "Mumbai Indians", "Gujarat Titans") for o in (2, 1)]
+    assert [(r.bowling_team, r.Overs) for r in mx.team_phase_wkts_taken(clean).collect()] == phases
+    assert [(r.batting_team, r.Overs) for r in mx.team_phase_wkts_lost(clean).collect()] == phases
+    teams = ["Gujarat Titans", "Mumbai Indians", "Punjab Kings"]
+    assert [r.batting_team for r in mx.run_rate_matrix(clean).collect()] == ["All_Teams", *teams]
+    assert [r.bowling_team for r in mx.conceded_matrix(clean).collect()] == teams
+    m = matches(spark, [match(id=1, venue="V1", result="wickets", target_runs=150), match(id=2, venue="V0", result="wickets", target_runs=150),
+                        match(id=3, venue="V2", result="wickets", target_runs=200)])
+    assert [r.venue for r in ve.venue_max_chase(m).collect()] == ["V2", "V0", "V1"]
+    s = matches(spark, [match(id=i, season=x) for i, x in enumerate(("2024", "2009/10", "1999", "2007/08", "2009"))])
+    balls = deliveries(spark, [ball(match_id=i, batsman_runs=i) for i in range(5)])
+    box = se.season_innings_box(balls, s, seasons=SEASONS).collect()
+    assert [(r.season, r.season_order) for r in box] == [("2007/08", 1), ("2009", 2), ("2009/10", 3), ("2024", 17)]
+
+
+def test_season_labels(spark):
+    d = deliveries(spark, [ball(batter="A", bowler="X", batsman_runs=4, is_wicket=1, dismissal_kind="bowled")])
+    m = matches(spark, [match(id=1, season="2009/10")])
+    assert [r.Label for r in se.top_season_runs(d, m).collect()] == ["A in 2009/10"]
+    assert [r.Label for r in se.top_season_wkts(d, m).collect()] == ["X in 2009/10"]
+    assert [r.Label for r in se.season_top_batter(d, m).collect()] == ["A in 2009/10"]
+    assert [r.Label for r in se.season_top_bowler(d, m).collect()] == ["X in 2009/10"]
+    nobody = matches(spark, [match(id=1, season=None)])
+    assert [r.Label for r in se.top_season_runs(d, nobody).collect()] == [None]
+
+
+def test_any_order_can_change_a_match_report(spark):
+    from crease.sources.adapter import from_tpch
+
+    t = from_tpch(spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert t.matches.count() == orders.count()
+    assert t.matches.select("id").exceptAll(orders.select("o_orderkey")).count() == 0
+    assert dict(t.deliveries.dtypes)["match_id"] == dict(t.matches.dtypes)["id"] == "bigint"
+
+
+def test_hot_innings_spreads_over_its_overs(spark):
+    """Distinct (over, ball) in one innings: no task of the last window gets more
+    than its overs' balls."""
+    from pyspark.sql import functions as F
+
+    base = deliveries(spark, [ball()])
+    balls = (spark.range(40_000).withColumns({"over": (F.col("id") / 100).cast("int"), "ball": (F.col("id") % 100).cast("int")})
+             .crossJoin(base.drop("over", "ball", "batsman_runs", "total_runs"))
+             .withColumns({"batsman_runs": F.lit(1), "total_runs": F.lit(1)}).select(*base.columns))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cl.with_running_score(balls)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert out.where(F.col("runningScorePerInning") != F.col("over") * 100 + F.col("ball") + 1).count() == 0
+    finally:
+        for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold",
+                  "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+    assert sum(sizes) == 40_000 and len(sizes) == 8 and max(sizes) <= 2 * 40_000 / 8

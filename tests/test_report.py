@@ -21,42 +21,28 @@ def _rows(df):
 def test_run_report_writes_every_report_and_matches_direct(spark):
     out = tempfile.mkdtemp(prefix="crease-report-")
     names = ["top_runs", "season_top_batter", "run_rate_matrix", "running_score", "venue_max_chase"]
-    paths = run_report(spark, from_tpch(spark, SF_SMALL), out, names, files=4)
+    paths = run_report(spark, from_tpch(spark, SF_SMALL), out, names, stage=True, files=4)
     for n in names:
         direct = QUERIES[n](from_tpch(spark, SF_SMALL))
         assert _rows(spark.read.parquet(paths[n]).select(*direct.columns)) == _rows(direct), n
 
 
-def test_both_join_paths_give_the_same_rows(spark):
-    """The match table grows with the data: beyond the row bound the season and
-    venue reports pre-aggregate and let Spark size the join.  With broadcast
-    disabled that path plans shuffled joins; both paths give identical rows."""
-    from crease.plans import seasons as se
-    from crease.plans import venues as ve
+JOINED = ["season_top_batter", "top_season_wkts", "season_innings_totals", "season_innings_box", "venue_innings_avg"]
 
+
+def test_joined_reports_do_not_depend_on_broadcast(spark):
     t = from_tpch(spark, SF_SMALL)
-    reports = {
-        "season_runs": lambda m: se.season_runs(t.deliveries, t.matches, max_rows=m),
-        "season_wickets": lambda m: se.season_wickets(t.deliveries, t.matches, max_rows=m),
-        "season_innings_totals": lambda m: se.season_innings_totals(t.deliveries, t.matches, max_rows=m),
-        "venue_innings_avg": lambda m: ve.venue_innings_avg(t.deliveries, t.matches, max_rows=m),
-    }
-    expected = {n: _rows(f(100_000)) for n, f in reports.items()}
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    old_aqe = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    expected = {n: _rows(QUERIES[n](t)) for n in JOINED}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        for n, f in reports.items():
-            df = f(0)
+        for n in JOINED:
+            df = QUERIES[n](t)
             assert "BroadcastHashJoin" not in plan_text(df, "simple"), n
             assert _rows(df) == expected[n], n
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        if old_aqe is None:
-            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-        else:
-            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
 def test_running_score_without_broadcast(spark):
@@ -96,19 +82,6 @@ def test_cli_runs_reports_from_csv(spark, capsys):
     assert "running_score" in capsys.readouterr().out
 
 
-def test_broadcast_check_bounds_rows_and_bytes(spark):
-    from pyspark.sql import functions as F
-
-    from crease.operators.dimension import fits_broadcast
-
-    dim = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "id int, name string")
-    side = dim.select(F.col("id").alias("_dim_key"), "name")
-    assert fits_broadcast(dim, side, 50, 50 * 108, projection=("p1",))
-    assert not fits_broadcast(dim, side, 49, 10**9, projection=("p2",))      # one row too many
-    assert not fits_broadcast(dim, side, 50, 50 * 108 - 1, projection=("p3",))  # one byte too many
-    assert not fits_broadcast(dim, side, 0, 10**9, projection=("p4",))
-
-
 def test_checkpoint_dir_reads_the_session_setting_and_never_writes_it(spark, monkeypatch):
     from crease import session
 
@@ -156,19 +129,46 @@ def test_cli_reads_parquet_tables(spark):
     t = from_tpch(spark, SF_SMALL)
     write_tables(t, f"{d}/tables")
     assert main(["--deliveries", f"{d}/tables/deliveries", "--matches", f"{d}/tables/matches",
-                 "--out", f"{d}/out", "--reports", "top_runs,season_top_batter", "--no-stage"]) == 0
+                 "--out", f"{d}/out", "--reports", "top_runs,season_top_batter", "--stage"]) == 0
     for n in ("top_runs", "season_top_batter"):
         direct = QUERIES[n](t)
         assert _rows(spark.read.parquet(f"{d}/out/{n}").select(*direct.columns)) == _rows(direct), n
 
 
-def test_staged_table_lives_under_the_checkpoint_folder(spark):
+def test_staged_folder_is_this_runs_own_and_goes_away(spark):
+    import os
+
     from crease.plans.report import stage_tables
+    from crease.session import checkpoint_dir, remove_path, scratch_path
+
+    paths = [scratch_path(spark, "staged-test") for _ in range(2)]
+    folder = checkpoint_dir(spark)
+    assert paths[0] != paths[1] and all(p.startswith(folder) and spark.sparkContext.applicationId in p for p in paths)
+    tables = from_tpch(spark, SF_SMALL)
+    staged = stage_tables(spark, tables, paths[0], files=2)
+    assert staged.deliveries.count() == tables.deliveries.count()
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        stage_tables(spark, tables, paths[0])
+    local = paths[0].split("file:", 1)[-1]
+    assert os.path.isdir(local)
+    remove_path(spark, paths[0])
+    assert not os.path.exists(local)
+
+
+def test_two_runs_at_once_do_not_meet(spark):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
     from crease.session import checkpoint_dir
-    from tests.plan_text import plan_text
 
-    staged = stage_tables(spark, from_tpch(spark, SF_SMALL), name="staged-test", files=2)
-    scan = [ln for ln in plan_text(staged.deliveries, "simple").splitlines() if "FileScan parquet" in ln][0]
-    folder = checkpoint_dir(spark).split(":", 1)[-1]
-    assert folder in scan and "staged-test" in scan
-    assert staged.deliveries.count() == from_tpch(spark, SF_SMALL).deliveries.count()
+    t = from_tpch(spark, SF_SMALL)
+    half = type(t)(t.deliveries.where("inning = 1"), t.matches)
+    outs = [tempfile.mkdtemp(prefix="crease-two-") for _ in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(run_report, spark, x, o, ["top_runs", "innings_summary"], stage=True) for x, o in zip((t, half), outs)]
+        paths = [r.result() for r in runs]
+    for x, p in zip((t, half), paths):
+        for n in p:
+            assert _rows(spark.read.parquet(p[n])) == _rows(QUERIES[n](x)), n
+    left = os.listdir(checkpoint_dir(spark).split("file:", 1)[-1])
+    assert not [n for n in left if n.startswith("staged-deliveries")]

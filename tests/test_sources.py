@@ -67,3 +67,20 @@ def test_ingest_to_parquet_round_trip_and_pushdown(spark):
     plan = plan_text(df, "simple")
     assert "PushedFilters: [" in plan and "In(batting_team" in plan
     assert [(r.batting_team, r.Runs_Scored) for r in df.collect()] == [("Punjab Kings", 6)]
+
+
+def test_ingest_counts_keys_that_did_not_parse(spark):
+    d = _csv_dir()
+    _write(f"{d}/d.csv", HEADER + "\n" + "x,1,T,U,0,1,A,X,N,4,0,4,,0,,,\n" + "1,1,T,U,NA,2,A,X,N,4,0,4,,0,,,\n"
+           + "1,,T,U,z,3,A,X,N,4,0,4,,0,,,\n")
+    _write(f"{d}/m.csv", ",".join(MATCH_COLUMNS) + "\nq,2020,C,2020-04-01,League,A,V,t1,t2,t1,bat,t1,runs,10,150,20,N,,U1,U2\n")
+    got = files.ingest_csv(spark, f"{d}/d.csv", f"{d}/m.csv", f"{d}/tables")
+    assert got.key_nulls == {"deliveries.match_id": 1, "deliveries.inning": 1, "deliveries.over": 2, "deliveries.ball": 0,
+                             "matches.id": 1}
+    assert {(r.table, r["rows"]) for r in files.key_nulls(got).collect()} == {("deliveries", 3), ("matches", 1)}
+
+
+def test_keys_beyond_32_bits(spark):
+    d = _csv_dir()
+    _write(f"{d}/d.csv", HEADER + "\n5000000000,1,T,U,0,1,A,X,N,4,0,4,,0,,,\n")
+    assert files.read_deliveries_csv(spark, f"{d}/d.csv").first().match_id == 5_000_000_000

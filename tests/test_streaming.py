@@ -33,3 +33,16 @@ def test_ingest_is_incremental_and_exactly_once(spark):
     assert t.count() == 3
     assert t.where("extras_type IS NULL").count() == 3
     assert sorted((r.batter, r.Sixes_Hit) for r in lb.top_sixes(t).collect()) == [("P", 1), ("Q", 1)]
+
+
+def test_default_checkpoint_belongs_to_the_table(spark):
+    root = tempfile.mkdtemp(prefix="crease-stream-")
+    for k in ("a", "b"):
+        os.makedirs(f"{root}/{k}")
+        _land(f"{root}/{k}", "m.csv", [f"{k == 'b':d},1,A,B,0,1,P,X,N,6,0,6,NA,0,NA,NA,NA"])
+    for _ in range(2):                                  # the second round is a restart with the same settings
+        for k in ("a", "b"):
+            ingest(spark, f"{root}/{k}", f"{root}/table-{k}").awaitTermination(120)
+    for k in ("a", "b"):
+        t = spark.read.schema(DELIVERIES_SCHEMA).parquet(f"{root}/table-{k}")
+        assert [r.match_id for r in t.collect()] == [int(k == "b")]

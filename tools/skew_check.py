@@ -1,7 +1,7 @@
 """Per-stage task balance of every report on a hot-key variant of the data.
 
     python tools/skew_check.py [sf_dir] [report ...]
-    CREASE_BROADCAST_MAX_ROWS=0 python tools/skew_check.py ...   # force the no-broadcast path
+    CREASE_NO_BROADCAST=1 python tools/skew_check.py ...   # shuffled joins only
 
 The deliveries of ``sf_dir`` are rewritten so that a third of all balls
 belong to one match and innings, and a third are faced by one batter
@@ -78,12 +78,8 @@ def main() -> None:
     from crease.plans.catalog import QUERIES
     from crease.session import local_session
 
-    from crease.operators import dimension
     from crease.plans import cleaning
 
-    if "CREASE_BROADCAST_MAX_ROWS" in os.environ:
-        dimension.BROADCAST_MAX_ROWS = int(os.environ["CREASE_BROADCAST_MAX_ROWS"])
-
     # Not a registered report: the single-pass running score, for contrast.
     extra = {"running_score[single_pass]": lambda t: cleaning.with_running_score(
         cleaning.legal_deliveries(t.deliveries), skew_safe=False)}
@@ -94,6 +90,9 @@ def main() -> None:
     spark = local_session(**{"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{log_dir}",
                              "spark.eventLog.compress": "false",
                              "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    if os.environ.get("CREASE_NO_BROADCAST"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     tables = skewed(from_tpch(spark, sf))
     for name in names:
         spark.sparkContext.setJobDescription(name)
