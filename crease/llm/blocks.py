@@ -1,9 +1,10 @@
-"""Cut a table into blocks of consecutive ids, each small enough for one task.
+"""Cut a table into blocks, each small enough for one task.
 
-A block holds a range of ids, so equal ids share a block and every id of a
-block is larger than every id of the blocks before it.  Blocks are sized by the
-bytes of text in the whole table, so their number grows with the input and
-their size does not.
+Blocks are sized by the bytes of text in the whole table, so their number grows
+with the input and their size does not.  An ordered block (``block_bounds``,
+``block_of``) holds a range of ids: equal ids share a block, and every id of a
+block is larger than every id of the blocks before it.  Where order does not
+matter, ``hashed_block`` deals rows out by hash.
 """
 
 from __future__ import annotations
@@ -18,13 +19,22 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
+def count_blocks(df: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> int:
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, math.ceil(size / block_bytes))
+
+
+def hashed_block(id_col: str, text_col: str, blocks: int) -> Column:
+    """A block by hash of id and text: null or repeated ids spread like any others."""
+    return F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")
+
+
 def block_bounds(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
     """First ids of the second and later blocks: approximate quantiles of the ids.
 
     Two small aggregates; what reaches the driver is one number per block.
     """
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    blocks = count_blocks(df, text_col, block_bytes)
     if blocks == 1:
         return np.zeros(0, np.int64)
     steps = [k / blocks for k in range(1, blocks)]

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, block_bounds, block_of
+from .blocks import BLOCK_BYTES, count_blocks, hashed_block
 from .hashes import bucket_edges, pack, unpack
 from .sources import stored
 from .textops import mix, row_slices, split
@@ -103,11 +103,11 @@ def discounts(of_counts: np.ndarray) -> np.ndarray:
 
 def _facts(docs: DataFrame, id_col: str, text_col: str, folds: int, block_bytes: int) -> tuple[DataFrame, np.ndarray]:
     """(the written facts, the buckets' edges)."""
-    bounds = block_bounds(docs, id_col, text_col, block_bytes)
-    edges = bucket_edges(len(bounds) + 1)
+    blocks = count_blocks(docs, text_col, block_bytes)
+    edges = bucket_edges(blocks)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(True))
     dealt = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                         held.alias("held_out"), block_of(id_col, bounds).alias("_block"))
+                         held.alias("held_out"), hashed_block(id_col, text_col, blocks).alias("_block"))
              .mapInArrow(_deflate, "doc_id long, held_out boolean, _block int, text binary"))
 
     def ask(key, table):

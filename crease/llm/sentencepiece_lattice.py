@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import block_bounds, block_of
+from .blocks import count_blocks, hashed_block
 from .textops import _power_tables, mix
 
 SPACE = "▁"
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no piece.  Null and repeated ids are rows like any
     others.  A text that holds U+2581 itself decodes with spaces there.
     """
-    bounds = block_bounds(docs, id_col, text_col, block_bytes)
+    blocks = count_blocks(docs, text_col, block_bytes)
     kind = dict(docs.dtypes)[id_col]
 
     def deflate(batches):
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())],
                                              ["id", "block", "text"])
 
-    dealt = docs.select(F.col(id_col).alias("id"), block_of(id_col, bounds).alias("block"),
+    dealt = docs.select(F.col(id_col).alias("id"), hashed_block(id_col, text_col, blocks).alias("block"),
                         F.col(text_col).alias("text")).mapInArrow(deflate, f"id {kind}, block int, text binary")
 
     def units_of(key, table):
