@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK_BYTES, block_bounds, block_of
 from .sources import stored
 from .textops import row_slices
-from .tokens import PartEncoder
+from .tokens import SLICE_BYTES, PartEncoder
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -127,24 +127,19 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def save(key, table):
         encoder = PartEncoder.of(path)
-        end = np.array([END_ID], encoder.dtype).tobytes()
         table = pa.table({"id": table["id"], "text": table["text"]})
         table = table.take(pc.sort_indices(table, [("id", "ascending"), ("text", "ascending")],
                                                    null_placement="at_start"))
         texts, names = table["text"].combine_chunks(), table["id"].to_pylist()
-        out, held, size, first = [], [], 0, 0
-
-        def close(upto):
-            sizes = [len(x) // encoder.dtype.itemsize for x in held]
-            raw = encode(np.frombuffer(b"".join(held), encoder.dtype), np.cumsum([0, *sizes[:-1]]))
-            out.append((len(out), sum(sizes), names[first:upto], raw))
-
-        for lo, hi in row_slices(texts):
-            held += [x + end for x in encoder.encode(texts.slice(lo, hi - lo).to_pylist())]
-            size += sum(map(len, held[lo - hi:])) // encoder.dtype.itemsize
+        out, held, firsts, size, first = [], [], [], 0, 0
+        for lo, hi in row_slices(texts, SLICE_BYTES):
+            ids, offsets = encoder.encode(texts.slice(lo, hi - lo), END_ID)
+            held.append(ids)
+            firsts.append(size + offsets[:-1])
+            size += len(ids)
             if size >= FILE_IDS or hi == len(texts):
-                close(hi)
-                held, size, first = [], 0, hi
+                out.append((len(out), size, names[first:hi], encode(np.concatenate(held), np.concatenate(firsts))))
+                held, firsts, size, first = [], [], 0, hi
         file, n, ids, raw = zip(*out)
         return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int32()), "file": pa.array(file, pa.int32()),
                          "n_ids": pa.array(n, pa.int64()), "doc_ids": pa.array(ids, pa.list_(pa.int64())),

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .sources import stored
 from .textops import row_slices
-from .tokens import PartEncoder
+from .tokens import SLICE_BYTES, PartEncoder
 
 LENGTH = 2048
 END_ID = 1
@@ -48,25 +48,25 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def encode(batches):
         encoder, part, seq = PartEncoder.of(path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], encoder.dtype).tobytes()
-        docs, sources, ids, size = [], [], [], 0
+        docs, sources, sizes, ids, size = [], [], [], [], 0
 
         def flush():
-            sizes = [len(x) // encoder.dtype.itemsize for x in ids]
             return pa.RecordBatch.from_pydict(
                 {"chunk": pa.array([part << 32 | seq], pa.int64()), "doc_ids": pa.array([docs], pa.list_(pa.int64())),
                  "sources": pa.array([sources], pa.list_(pa.string())),
-                 "sizes": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([b"".join(ids)], pa.binary())})
+                 "sizes": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([b"".join(x.tobytes() for x in ids)], pa.binary())})
 
         for b in batches:
-            for lo, hi in row_slices(b.column(1)):
-                ids += [x + end for x in encoder.encode(b.column(1).slice(lo, hi - lo).to_pylist())]
+            for lo, hi in row_slices(b.column(1), SLICE_BYTES):
+                got, offsets = encoder.encode(b.column(1).slice(lo, hi - lo), END_ID)
+                ids.append(got)
+                sizes += np.diff(offsets).tolist()
                 docs += b.column(0).slice(lo, hi - lo).to_pylist()
                 sources += b.column(2).slice(lo, hi - lo).to_pylist()
-                size += sum(map(len, ids[lo - hi:])) // encoder.dtype.itemsize
+                size += len(got)
                 if size >= CHUNK_TOKENS:
                     yield flush()
-                    docs, sources, ids, size, seq = [], [], [], 0, seq + 1
+                    docs, sources, sizes, ids, size, seq = [], [], [], [], 0, seq + 1
         if docs:
             yield flush()
 

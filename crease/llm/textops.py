@@ -18,6 +18,7 @@ _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 17
 
 
 def classes(separators: bytes, punctuation: bytes = b"") -> np.ndarray:
@@ -116,10 +117,32 @@ def split(texts: pa.Array, table: np.ndarray = WORDS, lower: bool = False) -> Sp
 
 
 def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+    """Hashes of sorted, disjoint byte spans, some at a time to stay in the cache."""
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + HASH_BYTES, "right")))
+        first, last = start[lo], end[hi - 1]
+        power, inverse = _power_tables(last - first + 1)
+        total = np.zeros(last - first + 1, np.uint64)
+        part = data[first:last].astype(np.uint64)
+        part += np.uint64(1)
+        part *= power[: last - first]
+        np.cumsum(part, out=total[1:])
+        a, b = start[lo:hi] - first, end[lo:hi] - first
+        out[lo:hi] = (total[b] - total[a]) * inverse[a]
+        lo = hi
+    return mix(out)
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, an index of each, each entry's place among them)."""
+    order = np.argsort(h)
+    ordered = h[order]
+    head = np.ones(len(h), bool)
+    head[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(head) - 1
+    return ordered[head], order[head], place
 
 
 def windows(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
