@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crease.llm import jaccard_join, packing, quality_rules, substring_dedup, toxicity
-from crease.llm.sources import stored, table, tokenizer_path
+from crease.llm.sources import importable, stored, table, tokenizer_path
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
     """``docs`` under names that clash with nothing; (frame, names, id, text)."""
+    importable(docs.sparkSession)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = {c: n for c, n in zip(docs.columns, names)}
     return docs.toDF(*names), names, at["doc_id"], at["text"]
@@ -47,9 +48,9 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays; equal rows of one id count as copies.
     Rows that share an id but not their text stay or go together."""
+    plain, names, doc_id, text = _plain(docs)
     classes = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
     stays = classes.where("class_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    plain, names, doc_id, text = _plain(docs)
     copies = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(doc_id)
     first = (plain.where(F.col(doc_id).isNotNull()).join(stays, F.col(doc_id) == F.col("_id"), "left_semi")
              .withColumn("_n", F.row_number().over(copies)).where("_n = 1").select(*names))
@@ -71,6 +72,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

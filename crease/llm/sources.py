@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from crease.session import checkpoint_dir
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this file system import the package from
+    where the driver did; elsewhere the package must be installed or shipped."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
