@@ -177,22 +177,27 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
                                  "piece string, id int, rank int, score double")
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``units`` (unit) with ``edges``: all (start, stop, id, rank, score, bits) of
-    its substrings that are pieces, and its single characters (id null if none)."""
-    n = F.char_length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - s)),
-        lambda k: F.struct(s.alias("start"), (s + k).alias("stop"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
-    one = F.lit(1).cast("long")
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, scored: bool = False) -> DataFrame:
+    """``units`` (unit) with ``edges``: its substrings that are pieces, and its
+    single characters (id null if none).  An edge holds its place as bits of the
+    unit's cuts: ``ends`` (its two ends) and ``span`` (all cuts it covers).
+
+    Grouped by hash and unit, so that the grouping's sort compares numbers.
+    """
+    n, one = F.char_length("unit"), F.lit(1).cast("long")
     bit = lambda c: F.call_function("shiftleft", one, c)
-    return (units.select("unit", F.explode(spans).alias("e")).select("unit", "e.*")
-            .join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR stop = start + 1")
-            .withColumn("ends", bit(F.col("start")) + bit(F.col("stop")))
-            .withColumn("inner", bit(F.col("stop")) - bit(F.col("start") + 1))
-            .groupBy("unit").agg(F.collect_list(F.struct(
-                "rank", "start", "stop", "ends", "inner", "id", "score",
-                F.when(F.col("id").isNull(), F.col("piece")).alias("raw"))).alias("edges")))
+    starts = units.select(F.xxhash64("unit").alias("h"), "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select("h", "unit", "start", F.explode(
+        F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("k"))
+    edge = [F.col("rank"), F.col("start"), (bit(F.col("start")) + bit(F.col("start") + F.col("k"))).alias("ends"),
+            (bit(F.col("start") + F.col("k") + 1) - bit(F.col("start"))).alias("span"), F.col("id"),
+            F.when(F.col("id").isNull(), F.col("piece")).alias("raw")]
+    if scored:
+        edge += [F.col("score"), (F.col("start") + F.col("k")).alias("stop")]
+    return (spans.select("h", "unit", "start", "k", F.substring(F.col("unit"), F.col("start") + 1, F.col("k")).alias("piece"))
+            .join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR k = 1")
+            .select("h", "unit", F.struct(*edge).alias("edge"))
+            .groupBy("h", "unit").agg(F.collect_list("edge").alias("edges")).drop("h"))
 
 
 def _ids(path: Column) -> Column:
@@ -206,24 +211,22 @@ def _ids(path: Column) -> Column:
 
 
 def merged(units: DataFrame) -> DataFrame:
-    """``unit``, ``ids``: the lattice folded by merges."""
+    """``unit``, ``ids``: the lattice folded by merges.  The fold's state is the
+    unit's cuts as bits; it turns negative when nothing more can be merged."""
     n = F.char_length("unit")
-    inside = lambda mask, e: mask.bitwiseAND(e["inner"])
-
-    def joins_two(mask: Column, e: Column) -> Column:
-        bits = inside(mask, e)
-        return (mask.bitwiseAND(e["ends"]) == e["ends"]) & (bits != 0) & (bits.bitwiseAND(bits - 1) == 0)
+    here = lambda cuts, e: cuts.bitwiseAND(e["ends"]) == e["ends"]
+    covered = lambda cuts, e: F.bit_count(cuts.bitwiseAND(e["span"]))  # noqa: E731  its two ends, and cuts inside
 
-    def step(mask: Column, _: Column) -> Column:
-        best = F.try_element_at(F.filter("merges", lambda e: joins_two(mask, e)), F.lit(1))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inner"])), mask)
+    def step(cuts: Column, _: Column) -> Column:
+        best = F.try_element_at(F.filter("merges", lambda e: (covered(cuts, e) == 3) & here(cuts, e)), F.lit(1))
+        return F.when(cuts < 0, cuts).otherwise(F.coalesce(
+            cuts.bitwiseAND(F.bitwise_not(best["span"].bitwiseXOR(best["ends"]))), -cuts))
 
     start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    cuts = F.when(n > 1, F.aggregate(F.sequence(F.lit(2), n), start, step)).otherwise(start)
-    return (units.withColumn("merges", F.array_sort(F.filter("edges", lambda e: e["stop"] > e["start"] + 1)))
-            .withColumn("cuts", cuts)
-            .withColumn("path", F.filter("edges", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"])
-                                         & (inside(F.col("cuts"), e) == 0)))
+    cuts = F.when(n > 1, F.abs(F.aggregate(F.sequence(F.lit(2), n), start, step))).otherwise(start)
+    joins = F.array_sort(F.filter("edges", lambda e: F.bit_count(e["span"]) > 2))
+    return (units.withColumn("merges", joins).withColumn("cuts", cuts)
+            .withColumn("path", F.filter("edges", lambda e: (covered(F.col("cuts"), e) == 2) & here(F.col("cuts"), e)))
             .withColumn("path", F.array_sort("path", lambda a, b: a["start"] - b["start"]))
             .select("unit", _ids(F.col("path")).alias("ids")))
 

@@ -3,7 +3,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from crease.llm import dac
 from crease.llm.sources import tokenizer_path
@@ -71,9 +74,23 @@ def test_part_encoder_equals_the_library(name):
     path = tokenizer_path(name)
     texts = [r[1] or "" for r in corpus()] + [
         "", " ", "  a", "a  b", "a \n b", " x y", "é ́x", "don't we'll I'M", "x y z", "日本 語", "a\x1cb c",
-        "ΑΣ ΑΣ", "<|endoftext|> x", "tab\tb \t c", "İ i̇", "1 23 456", "a .b ,c", "ﬁ ﬂ", "x \x85 y", "trail "]
+        "ΑΣ ΑΣ", "<|endoftext|> x", " a <|startoftext|>b, <|EndOfText|> c. d", "tab\tb \t c", "İ i̇", "1 23 456", "a .b ,c", "ﬁ ﬂ", "x \x85 y", "trail "]
     t = Tokenizer.from_file(path)
     enc = PartEncoder(path)
-    for _ in range(2):
-        got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
-        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for _ in range(3):
+        ids, at = enc.encode(pa.array([*texts, None]), 1)
+        got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts] + [[1]]
+    alone = [PartEncoder(path).encode(pa.array([x]), 1)[0].tolist() for x in texts[:40]]
+    assert alone == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts[:40]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list(" \n\t\r.,'!-_<|x1Ab9é×ßñ日\u0301\u00a0\u3000\x1e\u2009σΣİ")), max_size=24), min_size=1))
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_part_encoder_on_odd_texts(name, texts):
+    path = tokenizer_path(name)
+    enc = PartEncoder.of(path)
+    ids, at = enc.encode(pa.array(texts), 1)
+    assert [ids[a:b - 1].tolist() for a, b in zip(at[:-1], at[1:])] == [
+        e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
