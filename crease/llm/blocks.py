@@ -17,11 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+LEAST_BYTES = 1 << 20
 
 
 def count_blocks(df: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of ``block_bytes``; of a small table, as many smaller ones (down to
+    ``LEAST_BYTES``) as there are shuffle partitions to work on them."""
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, math.ceil(size / block_bytes))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(size / block_bytes), min(partitions, math.ceil(size / LEAST_BYTES)))
 
 
 def hashed_block(id_col: str, text_col: str, blocks: int) -> Column:

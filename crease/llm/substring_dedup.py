@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK_BYTES, block_bounds, block_of
+from .blocks import block_bounds, block_of
 from .hashes import bucket_edges, pack, unpack
 from .textops import covered, owner, row_slices, split, windows
 
 WIDTH = 50
+BLOCK_BYTES = 4 << 20
 
 _PACKED = "block int, bucket int, hashes binary"
 
