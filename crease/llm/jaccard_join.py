@@ -280,3 +280,31 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .sources import table
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, w, array_to_string(w, ' ') AS t
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+        FROM documents)),
+classes AS (SELECT t, min(doc_id) AS text_id, count(*) AS n_copies, any_value(w) AS w FROM texts WHERE len(w) > 0 GROUP BY t),
+grams AS (
+  SELECT DISTINCT text_id, CASE WHEN len(w) < 5 THEN t ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT text_id, t, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM classes)),
+sizes AS (SELECT text_id, count(*) AS n FROM grams GROUP BY text_id),
+shared AS (
+  SELECT a.text_id AS a, b.text_id AS b, count(*) AS c
+  FROM grams a JOIN grams b ON a.g = b.g AND a.text_id <> b.text_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.text_id = a JOIN sizes y ON y.text_id = b
+  WHERE CAST(c AS DOUBLE) / CAST(x.n + y.n - c AS DOUBLE) >= CAST(0.8 AS DOUBLE)),
+reach AS (
+  SELECT text_id AS a, text_id AS r FROM classes
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.r),
+groups AS (SELECT a, min(r) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_texts, sum(n_copies) AS docs FROM links JOIN classes ON text_id = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(class_id, doc_id) AS BIGINT) AS class_id, CAST(coalesce(c.text_id, doc_id) AS BIGINT) AS text_id,
+  CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(n_texts, 0) AS BIGINT) AS n_texts,
+  CAST(coalesce(docs, 0) + coalesce(n_copies, 1) - 1 AS BIGINT) AS n_links
+FROM texts LEFT JOIN classes c ON c.t = texts.t LEFT JOIN groups g ON g.a = c.text_id LEFT JOIN counts k ON k.a = c.text_id
+"""

@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
 }
