@@ -13,14 +13,15 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def main() -> None:
-    from __spark_entry__ import queries
+    from crease.plans.catalog import QUERIES
     from crease.session import local_session
+    from crease.sources.adapter import from_tpch
     from tests.plan_text import plan_text
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
-    for name, fn in queries().items():
-        p = plan_text(fn(spark, sf), "simple")
+    for name, report in QUERIES.items():
+        p = plan_text(report(from_tpch(spark, sf)), "simple")
         counts = {
             "lineitem_scans": len(re.findall(r"FileScan parquet \[l_", p)),
             "orders_scans": len(re.findall(r"FileScan parquet \[o_", p)),
