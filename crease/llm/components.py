@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .sources import stored
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``m``, the least neighbour of ``u``.  The minimum is a
+    written table, so the join has a plain shuffle on either side and adaptive
+    execution can split the neighbours of a hub."""
+    return edges.join(stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,21 +20,21 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest node of its component.
 
     Every step groups by node with partial aggregates and joins the minimum
-    back (a hub's neighbours are split by the skew join), so no neighbourhood
-    is gathered in one place; edges never grow in number.  Each round is
-    written to the shared folder; rounds grow with the log of the node count.
-    Self-loops and nulls are ignored; repeated edges count once.
+    back, so no neighbourhood is gathered in one place; edges never grow in
+    number.  Each round is written to the shared folder; rounds grow with the
+    log of the node count.  Self-loops and nulls are ignored; repeated edges
+    count once.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
                  "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (both.join(_least_neighbour(both), "u").where("v > u")
-                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        small = large.join(_least_neighbour(large), "u")
-        now = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        large = stored(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+                       .distinct(), "large")
+        # every neighbour, and the node itself, to the least neighbour
+        ends = F.explode(F.array("v", "u")).alias("u")
+        now = stored(_with_least(large).select(ends, F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         last, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == last:
             break
