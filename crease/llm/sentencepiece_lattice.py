@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import count_blocks, hashed_block
-from .textops import _power_tables, mix
+from .textops import _power_tables, distinct, mix
 
 SPACE = "▁"
 LONG = 60
@@ -142,10 +143,38 @@ def cut(texts: list[str], vocabulary: Vocabulary) -> tuple[str, np.ndarray, np.n
     return text, start, np.searchsorted(start, bounds), mix((total[end] - total[start]) * inverse[start])
 
 
-def _slices(texts: list[bytes]):
+def _bundles(batches, id_type: pa.DataType):
+    """Rows (block, ids, sizes, texts): each batch's texts of a block, deflated
+    together (a bundle compresses better than its texts one by one)."""
+    for b in batches:
+        block = b.column(1).to_numpy()
+        order = np.argsort(block, kind="stable")
+        edge = np.flatnonzero(np.diff(block[order])) + 1
+        out = {"block": [], "ids": [], "sizes": [], "texts": []}
+        for rows in np.split(order, edge) if len(order) else []:
+            part = b.take(pa.array(rows))
+            raw = [(t or "").encode() for t in part.column(2).to_pylist()]
+            for key, x in (("block", int(block[rows[0]])), ("ids", part.column(0).to_pylist()),
+                           ("sizes", [len(t) for t in raw]), ("texts", zlib.compress(b"".join(raw), 6))):
+                out[key].append(x)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out["block"], pa.int32()), pa.array(out["ids"], pa.list_(id_type)),
+             pa.array(out["sizes"], pa.list_(pa.int64())), pa.array(out["texts"], pa.binary())], list(out))
+
+
+def _texts(table: pa.Table):
+    """The texts (bytes) of a block's bundles, in order."""
+    for sizes, raw in zip(table["sizes"], table["texts"]):
+        data, at = zlib.decompress(raw.as_py()), 0
+        for n in sizes.as_py():
+            yield data[at:at + n]
+            at += n
+
+
+def _slices(texts):
     part, n = [], 0
     for raw in texts:
-        part.append(zlib.decompress(raw).decode())
+        part.append(raw.decode())
         n += len(part[-1])
         if n >= SLICE:
             yield part
@@ -154,21 +183,23 @@ def _slices(texts: list[bytes]):
         yield part
 
 
-def _block_units(packed: list[bytes], vocabulary: Vocabulary):
+def _block_units(table: pa.Table, vocabulary: Vocabulary):
     """(distinct units in hash order, each occurrence's place there, occurrences by text as offsets)."""
-    hashes, known, sizes = [], {}, []
-    for texts in _slices(packed):
+    known: dict[int, str] = {}
+    parts, counts = [], []
+    for texts in _slices(_texts(table)):
         text, start, offsets, h = cut(texts, vocabulary)
         end = np.append(start[1:], len(text)) if len(start) else start
-        names, first = np.unique(h, return_index=True)
+        names, first, place = distinct(h)
         for name, a, z in zip(names.tolist(), start[first].tolist(), end[first].tolist()):
             if name not in known:
                 known[name] = text[a:z]
-        hashes.append(h)
-        sizes.append(np.diff(offsets))
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    names, place = np.unique(h, return_inverse=True)
-    return [known[x] for x in names.tolist()], place, np.concatenate([[0], np.cumsum(np.concatenate(sizes or [[]]))]).astype(int)
+        parts.append((names, place.astype(np.int32)))
+        counts.append(np.diff(offsets))
+    names = np.array(sorted(known), np.uint64)
+    places = [np.searchsorted(names, n).astype(np.int32)[p] for n, p in parts]
+    return ([known[x] for x in names.tolist()], np.concatenate(places or [np.zeros(0, np.int32)]),
+            np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, int)]))]))
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -260,32 +291,34 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     others.  A text that holds U+2581 itself decodes with spaces there.
     """
     blocks = count_blocks(docs, text_col, block_bytes)
-    kind = dict(docs.dtypes)[id_col]
-
-    def deflate(batches):
-        for b in batches:
-            texts = [zlib.compress((t or "").encode(), 1) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())],
-                                             ["id", "block", "text"])
-
+    vocabulary = Vocabulary.of(path)
+    bits = len(vocabulary.text).bit_length()
+    per = 62 // bits                                   # ids that travel in one long
+    id_field = docs.schema[id_col]
+    id_type = to_arrow_type(id_field.dataType)
     dealt = docs.select(F.col(id_col).alias("id"), hashed_block(id_col, text_col, blocks).alias("block"),
-                        F.col(text_col).alias("text")).mapInArrow(deflate, f"id {kind}, block int, text binary")
+                        F.col(text_col).alias("text")).mapInArrow(
+        lambda batches: _bundles(batches, id_type), T.StructType([
+            T.StructField("block", T.IntegerType()), T.StructField("ids", T.ArrayType(id_field.dataType)),
+            T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())]))
 
     def units_of(key, table):
-        units, _, _ = _block_units(table["text"].to_pylist(), Vocabulary.of(path))
+        units, _, _ = _block_units(table, Vocabulary.of(path))
         place = [i for i, u in enumerate(units) if len(u) <= LONG]
         return pa.table({"block": pa.array([key[0].as_py()] * len(place), pa.int32()), "place": pa.array(place, pa.int32()),
                          "unit": pa.array([units[i] for i in place], pa.string())})
 
     def assemble(key, table, answers):
         vocabulary = Vocabulary.of(path)
-        packed = table["text"].to_pylist()
-        units, place, offsets = _block_units(packed, vocabulary)
-        size = np.zeros(len(units), np.int64)
+        units, place, offsets = _block_units(table, vocabulary)
         answers = answers.sort_by("place")
-        lists = answers["ids"].combine_chunks()
-        at = answers["place"].to_numpy()
-        size[at] = np.diff(lists.offsets.to_numpy())
+        lists = answers["packed"].combine_chunks()
+        digits = (lists.flatten().to_numpy()[:, None] >> (bits * np.arange(per - 1, -1, -1))) & ((1 << bits) - 1)
+        used = digits > 0
+        spent = np.concatenate([[0], np.cumsum(used.sum(1))])
+        size = np.zeros(len(units), np.int64)
+        at = lists.offsets.to_numpy()
+        size[answers["place"].to_numpy()] = spent[at[1:]] - spent[at[:-1]]
         own = {i: vocabulary.merge(u) for i, u in enumerate(units) if len(u) > LONG}
         for i, ids in own.items():
             size[i] = len(ids)
@@ -293,12 +326,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         flat = np.zeros(first[-1], np.int32)
         answered = np.ones(len(units), bool)
         answered[list(own)] = False
-        flat[np.repeat(answered, size)] = lists.flatten().to_numpy()
+        flat[np.repeat(answered, size)] = digits[used] - 1
         for i, ids in own.items():
             flat[first[i]: first[i + 1]] = ids
-        out = {"id": table["id"], "n_pieces": [], "ids_crc32": [], "round_trip": []}
-        each = []
-        for k, raw in enumerate(packed):
+        out = {"n_pieces": [], "ids_crc32": [], "round_trip": [], "ids": []}
+        for k, raw in enumerate(_texts(table)):
             mine = place[offsets[k]: offsets[k + 1]]
             counts = size[mine]
             ends = np.cumsum(counts)
@@ -306,24 +338,30 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             back, _ = vocabulary.decode(ids)
             out["n_pieces"].append(len(ids))
             out["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
-            out["round_trip"].append(back[1:].tobytes() == zlib.decompress(raw))
+            out["round_trip"].append(back[1:].tobytes() == raw)
             if with_ids:
-                each.append(ids)
-        cols = {"id": table["id"], "n_pieces": pa.array(out["n_pieces"], pa.int64()),
+                out["ids"].append(ids)
+        cols = {"id": pa.concat_arrays([x.values for x in table["ids"]]) if table.num_rows else pa.array([], id_type),
+                "n_pieces": pa.array(out["n_pieces"], pa.int64()),
                 "ids_crc32": pa.array(out["ids_crc32"], pa.int64()), "round_trip": pa.array(out["round_trip"], pa.bool_())}
         if with_ids:
-            cols["ids"] = pa.array(each, pa.list_(pa.int32()))
+            cols["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
         return pa.table(cols)
 
     by_block = dealt.groupBy("block")
     asked = by_block.applyInArrow(units_of, "block int, place int, unit string").repartition("unit")
-    pieces, longest = piece_table(docs.sparkSession, path), Vocabulary.of(path).longest
+    pieces = piece_table(docs.sparkSession, path)
     # reads all columns of ``asked``, so that both uses of it share one shuffle
     units = asked.groupBy("unit").agg(F.min("block").alias("block"), F.min("place").alias("place")).where(
         "block >= 0 AND place >= 0").select("unit")
-    known = merged(lattice(units, pieces, longest))
-    answers = asked.join(known.hint("shuffle_hash"), "unit").select("block", "place", "ids")
-    schema = f"id {kind}, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    known = merged(lattice(units, pieces, vocabulary.longest))
+    groups = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / per).cast("int"))
+    packed = F.transform(groups, lambda g: F.aggregate(
+        F.slice("ids", g * per + 1, per), F.lit(0).cast("long"), lambda x, i: x * (1 << bits) + i + 1))
+    answers = asked.join(known.select("unit", packed.alias("packed")).hint("shuffle_hash"), "unit").select(
+        "block", "place", "packed")
+    schema = T.StructType([T.StructField("id", id_field.dataType), *T._parse_datatype_string(
+        "n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids).fields])
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(assemble, schema).withColumnRenamed("id", id_col)
 
 
