@@ -14,7 +14,7 @@ not its encoding, so there the fold applies, step by step, the best-ranked edge
 that joins exactly two current pieces (leftmost among equals), on a bit mask of
 the unit's cuts.  Characters without a piece become byte pieces.
 
-Plan.  Documents are dealt into blocks (texts travel deflated).  A block sends
+Plan.  Documents are dealt into blocks (texts travel compressed).  A block sends
 its distinct units; one shuffle by unit serves both the lattice (explode, join
 to the broadcast piece table -- its size is the vocabulary file's -- and group
 need no other) and the way back; encoded units return to their blocks, which
@@ -144,8 +144,9 @@ def cut(texts: list[str], vocabulary: Vocabulary) -> tuple[str, np.ndarray, np.n
 
 
 def _bundles(batches, id_type: pa.DataType):
-    """Rows (block, ids, sizes, texts): each batch's texts of a block, deflated
-    together (a bundle compresses better than its texts one by one)."""
+    """Rows (block, ids, sizes, texts): each batch's texts of a block, compressed
+    together (a bundle gets smaller than its texts one by one)."""
+    codec = pa.Codec("zstd", compression_level=6)
     for b in batches:
         block = b.column(1).to_numpy()
         order = np.argsort(block, kind="stable")
@@ -155,7 +156,7 @@ def _bundles(batches, id_type: pa.DataType):
             part = b.take(pa.array(rows))
             raw = [(t or "").encode() for t in part.column(2).to_pylist()]
             for key, x in (("block", int(block[rows[0]])), ("ids", part.column(0).to_pylist()),
-                           ("sizes", [len(t) for t in raw]), ("texts", zlib.compress(b"".join(raw), 6))):
+                           ("sizes", [len(t) for t in raw]), ("texts", codec.compress(b"".join(raw), asbytes=True))):
                 out[key].append(x)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out["block"], pa.int32()), pa.array(out["ids"], pa.list_(id_type)),
@@ -164,9 +165,10 @@ def _bundles(batches, id_type: pa.DataType):
 
 def _texts(table: pa.Table):
     """The texts (bytes) of a block's bundles, in order."""
-    for sizes, raw in zip(table["sizes"], table["texts"]):
-        data, at = zlib.decompress(raw.as_py()), 0
-        for n in sizes.as_py():
+    codec = pa.Codec("zstd")
+    for sizes, raw in zip(table["sizes"].to_pylist(), table["texts"]):
+        data, at = codec.decompress(raw.as_py(), decompressed_size=sum(sizes), asbytes=True), 0
+        for n in sizes:
             yield data[at:at + n]
             at += n
 
