@@ -78,7 +78,12 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log P(bucket | language)), counted over all labelled documents."""
+    """(languages, log P(bucket | language)), counted over all labelled documents.
+
+    A language is a label's primary subtag of two or three letters, in any case
+    (``de``, ``DE-at``); rows with any other label are not labelled.  That bounds
+    the model: ``DIM`` numbers for each code in use.
+    """
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -94,8 +99,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()),
                                               pa.array(got[seen])], ["lang", "bucket", "n"])
 
-    clean = F.lower(F.trim(F.col(lang_col).cast("string")))
-    sums = (docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), clean.alias("lang"))
+    code = F.lower(F.regexp_extract(F.col(lang_col).cast("string"), r"^\s*([A-Za-z]{2,3})(?:[-_].*|\s*)$", 1))
+    sums = (docs.select(F.col(text_col).alias("text"), code.alias("lang")).where("lang <> ''")
             .mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
             .toPandas())                             # DIM rows a language at most
     langs = sorted(sums["lang"].unique())

@@ -78,5 +78,7 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([("x", None), (None, None)], "text string, lang string")
     langs, _ = learnt = g.learn(docs)
     assert langs == []
+    odd = [("aber", "DE-at"), ("aber", " de "), ("hello", "en"), ("x", "english"), ("x", "1"), ("x", "")]
+    assert g.learn(spark.createDataFrame(odd, "text string, lang string"))[0] == ["de", "en"]
     got = g.identify(spark.createDataFrame([(1, "http://a.de", "hallo")], SCHEMA), learnt).collect()
     assert [(r.page_id, r.lang) for r in got] == [(1, None)]
