@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import cross_polytope, dac, jaccard_join, katz, language_id, packing, quality_rules, sentencepiece_lattice, substring_dedup, toxicity
+from . import (cross_polytope, dac, jaccard_join, katz, language_id, packing, quality_rules, sentencepiece_lattice,
+               substring_dedup, toxicity)
 
 QUERIES = {
     "op1_language_id": language_id.query,

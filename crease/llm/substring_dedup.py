@@ -51,8 +51,8 @@ def _block_windows(table: pa.Table, text_col: str, id_col: str, width: int):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                    carry: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, ``carry`` columns, ``n_words``,
-    ``n_removed``, ``spans`` (removed word intervals, end exclusive, maximal),
-    ``kept_text`` (kept words joined by one space) and ``text_changed``.
+    ``n_removed``, ``spans`` (removed word intervals, end exclusive, maximal)
+    and ``kept_text`` (kept words joined by one space).
 
     A word goes when a window of ``width`` words that covers it also starts in
     a row with a smaller id; windows are judged on the input.  Null texts have

@@ -1,7 +1,6 @@
 """Cross-polytope search: transform, recall against brute force, ties, edges."""
 
 import numpy as np
-import pytest
 
 from crease.llm import cross_polytope as c
 
