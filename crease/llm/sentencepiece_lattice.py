@@ -5,14 +5,14 @@ mark U+2581) and cut into units wherever no piece of the vocabulary holds the
 two neighbouring characters: no piece crosses such a cut, so units are encoded
 on their own, each distinct unit once.
 
-Lattice.  Every substring of a unit of at most the longest piece's length is
-exploded and equi-joined to the piece table; the matching edges are grouped by
-unit and folded with Spark's higher-order ``aggregate``.  The fold depends on
+Lattice.  Every substring of a unit of two characters up to the longest piece's
+length is exploded and equi-joined to the piece table; the matching edges are
+grouped by unit and folded with Spark's higher-order ``aggregate``.  The fold depends on
 the kind of model.  For a unigram model it is Viterbi: the best score per
 position.  A BPE model's scores are merge ranks, and the best sum of ranks is
 not its encoding, so there the fold applies, step by step, the best-ranked edge
 that joins exactly two current pieces (leftmost among equals), on a bit mask of
-the unit's cuts.  Characters without a piece become byte pieces.
+the unit's cuts.  Characters that are left get their own piece, or byte pieces.
 
 Plan.  Documents are dealt into blocks (texts travel compressed).  A block sends
 its distinct units; one shuffle by unit serves both the lattice (explode, join
@@ -210,40 +210,51 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
                                  "piece string, id int, rank int, score double")
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int, scored: bool = False) -> DataFrame:
-    """``units`` (unit) with ``edges``: its substrings that are pieces, and its
-    single characters (id null if none).  An edge holds its place as bits of the
-    unit's cuts: ``ends`` (its two ends) and ``span`` (all cuts it covers).
+def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """``units`` (unit) with ``edges``: its substrings of two or more characters
+    that are pieces, each as its place in the unit's cuts, in bits: ``ends`` (its
+    two ends) and ``span`` (all cuts it covers); ``order`` sorts by rank, then
+    from the left.  A unit without such a piece has one edge without an id.
 
     Grouped by hash and unit, so that the grouping's sort compares numbers.
     """
     n, one = F.char_length("unit"), F.lit(1).cast("long")
     bit = lambda c: F.call_function("shiftleft", one, c)
+    start, k = F.col("start"), F.col("k")
     starts = units.select(F.xxhash64("unit").alias("h"), "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = starts.select("h", "unit", "start", F.explode(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("k"))
-    edge = [F.col("rank"), F.col("start"), (bit(F.col("start")) + bit(F.col("start") + F.col("k"))).alias("ends"),
-            (bit(F.col("start") + F.col("k") + 1) - bit(F.col("start"))).alias("span"), F.col("id"),
-            F.when(F.col("id").isNull(), F.col("piece")).alias("raw")]
-    if scored:
-        edge += [F.col("score"), (F.col("start") + F.col("k")).alias("stop")]
-    return (spans.select("h", "unit", "start", "k", F.substring(F.col("unit"), F.col("start") + 1, F.col("k")).alias("piece"))
-            .join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR k = 1")
-            .select("h", "unit", F.struct(*edge).alias("edge"))
+        F.sequence(F.lit(1), F.least(F.lit(longest), n - start))).alias("k")).where("k > 1 OR start = 0")
+    edge = F.struct((F.col("rank") * (LONG + 1) + start).alias("order"), (bit(start) + bit(start + k)).alias("ends"),
+                    (bit(start + k + 1) - bit(start)).alias("span"), F.col("id"), F.col("score"))
+    return (spans.select("h", "unit", "start", "k", F.substring(F.col("unit"), start + 1, k).alias("piece"))
+            .join(F.broadcast(pieces), "piece", "left").where("(id IS NOT NULL AND k > 1) OR (k = 1 AND start = 0)")
+            .select("h", "unit", F.when(k > 1, edge).alias("edge"))
             .groupBy("h", "unit").agg(F.collect_list("edge").alias("edges")).drop("h"))
 
 
-def _ids(path: Column) -> Column:
-    """Ids of edges in text order; characters without a piece as byte pieces."""
+def _letters(vocabulary: Vocabulary) -> tuple[Column, Column]:
+    """(all characters that are pieces, in id order; their ids)."""
+    letters = sorted((i, p) for p, i in vocabulary.pieces.items() if len(p) == 1)
+    return F.lit("".join(p for _, p in letters)), F.array(*[F.lit(i) for i, _ in letters])
+
+
+def _ids(path: Column, vocabulary: Vocabulary) -> Column:
+    """Ids of a path of (start, id) in text order; where the id is null, that of
+    the single character there, or its byte pieces."""
+    letters, ids = _letters(vocabulary)
+
     def one(e: Column) -> Column:
-        raw = F.transform(F.sequence(F.lit(0), F.octet_length(e["raw"]) - 1), lambda i: F.conv(
-            F.substring(F.hex(e["raw"]), 2 * i + 1, F.lit(2)), 16, 10).cast("int") + BYTE_BASE)
-        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(raw)
+        raw = F.substring(F.col("unit"), e["start"] + 1, F.lit(1))
+        at = F.instr(letters, raw)
+        octets = F.transform(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda i: F.conv(
+            F.substring(F.hex(raw), 2 * i + 1, F.lit(2)), 16, 10).cast("int") + BYTE_BASE)
+        return (F.when(e["id"].isNotNull(), F.array(e["id"])).when(at > 0, F.array(F.element_at(ids, at)))
+                .otherwise(octets))
 
     return F.flatten(F.transform(path, one))
 
 
-def merged(units: DataFrame) -> DataFrame:
+def merged(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``unit``, ``ids``: the lattice folded by merges.  The fold's state is the
     unit's cuts as bits; it turns negative when nothing more can be merged."""
     n = F.char_length("unit")
@@ -251,37 +262,52 @@ def merged(units: DataFrame) -> DataFrame:
     covered = lambda cuts, e: F.bit_count(cuts.bitwiseAND(e["span"]))  # noqa: E731  its two ends, and cuts inside
 
     def step(cuts: Column, _: Column) -> Column:
-        best = F.try_element_at(F.filter("merges", lambda e: (covered(cuts, e) == 3) & here(cuts, e)), F.lit(1))
+        best = F.try_element_at(F.filter("edges", lambda e: (covered(cuts, e) == 3) & here(cuts, e)), F.lit(1))
         return F.when(cuts < 0, cuts).otherwise(F.coalesce(
             cuts.bitwiseAND(F.bitwise_not(best["span"].bitwiseXOR(best["ends"]))), -cuts))
 
     start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    cuts = F.when(n > 1, F.abs(F.aggregate(F.sequence(F.lit(2), n), start, step))).otherwise(start)
-    joins = F.array_sort(F.filter("edges", lambda e: F.bit_count(e["span"]) > 2))
-    return (units.withColumn("merges", joins).withColumn("cuts", cuts)
-            .withColumn("path", F.filter("edges", lambda e: (covered(F.col("cuts"), e) == 2) & here(F.col("cuts"), e)))
-            .withColumn("path", F.array_sort("path", lambda a, b: a["start"] - b["start"]))
-            .select("unit", _ids(F.col("path")).alias("ids")))
-
-
-def best_scored(units: DataFrame, unknown: float = -100.0) -> DataFrame:
-    """``unit``, ``ids``: the lattice folded by Viterbi (unigram models): the path
-    of the largest score sum, fewer pieces first, then the earlier last start."""
+    cuts = F.when(F.size("edges") > 0, F.abs(F.aggregate(F.sequence(F.lit(2), n), start, step))).otherwise(start)
+    # pieces that are whole between two neighbouring cuts, and the single characters that are left
+    long = F.transform(F.filter("edges", lambda e: (covered(F.col("cuts"), e) == 2) & here(F.col("cuts"), e)),
+                       lambda e: F.struct((e["order"] % (LONG + 1)).alias("start"), e["id"]))
+    pair = lambda p: F.call_function("shiftleft", F.lit(3).cast("long"), p)
+    single = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda p: F.col("cuts").bitwiseAND(pair(p)) == pair(p)),
+                         lambda p: F.struct(p.alias("start"), F.lit(None).cast("int").alias("id")))
+    return (units.withColumn("edges", F.array_sort("edges")).withColumn("cuts", cuts)
+            .withColumn("path", F.array_sort(F.concat(long, single)))
+            .select("unit", _ids(F.col("path"), vocabulary).alias("ids")))
+
+
+def best_scored(units: DataFrame, pieces: DataFrame, longest: int, unknown: float = -100.0) -> DataFrame:
+    """``unit``, ``ids``: Viterbi for unigram models -- the path of the largest
+    score sum, then of fewer pieces, then of the later last piece.  Characters
+    without a piece score ``unknown`` and have no id."""
+    edges = (lattice(units, pieces, longest)
+             .select("unit", F.explode(F.filter("edges", lambda e: e["id"].isNotNull())).alias("e"))
+             .select("unit", (F.col("e.order") % (LONG + 1)).alias("start"), F.bit_count(F.col("e.span")).alias("n"),
+                     "e.id", "e.score"))
     n = F.char_length("unit")
+    letters = (units.select("unit", F.posexplode(F.split("unit", "")).alias("start", "piece")).where("piece <> ''")
+               .join(F.broadcast(pieces), "piece", "left")
+               .select("unit", "start", F.lit(2).alias("n"), "id", F.coalesce("score", F.lit(unknown)).alias("score")))
+    grouped = edges.unionByName(letters).groupBy("unit").agg(F.collect_list(F.struct(
+        "start", (F.col("start") + F.col("n") - 1).alias("stop"), "id", "score")).alias("edges"))
     by_stop = F.transform(F.sequence(F.lit(1), n), lambda p: F.filter("edges", lambda e: e["stop"] == p))
 
-    def step(states: Column, edges: Column) -> Column:
-        ways = F.transform(edges, lambda e: F.struct(
-            (F.element_at(states, e["start"] + 1)["score"] + F.coalesce(e["score"], F.lit(unknown))).alias("score"),
-            (F.element_at(states, e["start"] + 1)["n"] - 1).alias("n"), (-e["start"]).alias("back"),
+    def step(states: Column, arriving: Column) -> Column:
+        ways = F.transform(arriving, lambda e: F.struct(
+            (F.element_at(states, e["start"] + 1)["score"] + e["score"]).alias("score"),
+            (F.element_at(states, e["start"] + 1)["n"] - 1).alias("n"), e["start"].alias("last"),
             F.concat(F.element_at(states, e["start"] + 1)["path"], F.array(e)).alias("path")))
-        top = F.array_max(F.transform(ways, lambda w: F.struct(w["score"], w["n"], w["back"])))
-        return F.concat(states, F.slice(F.filter(ways, lambda w: F.struct(w["score"], w["n"], w["back"]) == top), 1, 1))
+        rank = lambda w: F.struct(w["score"], w["n"], w["last"])
+        top = F.array_max(F.transform(ways, rank))
+        return F.concat(states, F.slice(F.filter(ways, lambda w: rank(w) == top), 1, 1))
 
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n"), F.lit(0).alias("back"),
+    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n"), F.lit(0).alias("last"),
                              F.slice("edges", 1, 0).alias("path")))
     last = F.aggregate(by_stop, begin, step, lambda states: F.element_at(states, -1)["path"])
-    return units.select("unit", _ids(last).alias("ids"))
+    return grouped.select("unit", F.transform(last, lambda e: e["id"]).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
@@ -356,7 +382,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     # reads all columns of ``asked``, so that both uses of it share one shuffle
     units = asked.groupBy("unit").agg(F.min("block").alias("block"), F.min("place").alias("place")).where(
         "block >= 0 AND place >= 0").select("unit")
-    known = merged(lattice(units, pieces, vocabulary.longest))
+    known = merged(lattice(units, pieces, vocabulary.longest), vocabulary)
     groups = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / per).cast("int"))
     packed = F.transform(groups, lambda g: F.aggregate(
         F.slice("ids", g * per + 1, per), F.lit(0).cast("long"), lambda x, i: x * (1 << bits) + i + 1))

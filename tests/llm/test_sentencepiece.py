@@ -58,7 +58,7 @@ def test_viterbi_finds_the_best_sum(spark):
     table = spark.createDataFrame([(p, i, 0, x) for i, (p, x) in enumerate(pieces.items())],
                                   "piece string, id int, rank int, score double")
     names = list(pieces)
-    got = s.best_scored(s.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), table, 3, scored=True)).collect()
+    got = s.best_scored(spark.createDataFrame([(u,) for u in units], "unit string"), table, 3).collect()
     assert {r.unit for r in got} == set(units)
     for r in got:
         path = [names[i] for i in r.ids]
