@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,22 +187,31 @@ def _slices(texts):
 
 
 def _block_units(table: pa.Table, vocabulary: Vocabulary):
-    """(distinct units in hash order, each occurrence's place there, occurrences by text as offsets)."""
-    known: dict[int, str] = {}
-    parts, counts = [], []
+    """(distinct units in alphabetical order, their lengths, each occurrence's
+    place among them, occurrences by text as offsets)."""
+    names = np.zeros(0, np.uint64)                    # all hashes so far, sorted
+    new_names, new_units, sizes, parts, counts = [], [], [], [], []
     for texts in _slices(_texts(table)):
         text, start, offsets, h = cut(texts, vocabulary)
         end = np.append(start[1:], len(text)) if len(start) else start
-        names, first, place = distinct(h)
-        for name, a, z in zip(names.tolist(), start[first].tolist(), end[first].tolist()):
-            if name not in known:
-                known[name] = text[a:z]
-        parts.append((names, place.astype(np.int32)))
+        seen, first, place = distinct(h)
+        fresh = ~np.isin(seen, names)
+        spans = start[first[fresh]], end[first[fresh]]
+        new_units.append(pa.array([text[a:z] for a, z in zip(*(x.tolist() for x in spans))], pa.string()))
+        new_names.append(seen[fresh])
+        sizes.append(spans[1] - spans[0])
+        names = np.union1d(names, seen)
+        parts.append((seen, place.astype(np.int32)))
         counts.append(np.diff(offsets))
-    names = np.array(sorted(known), np.uint64)
-    places = [np.searchsorted(names, n).astype(np.int32)[p] for n, p in parts]
-    return ([known[x] for x in names.tolist()], np.concatenate(places or [np.zeros(0, np.int32)]),
-            np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, int)]))]))
+    units = pa.concat_arrays(new_units) if new_units else pa.array([], pa.string())
+    order = pc.sort_indices(units).to_numpy()
+    rank = np.empty(len(units), np.int32)
+    rank[order] = np.arange(len(units), dtype=np.int32)
+    by_hash = np.empty(len(units), np.int32)
+    by_hash[np.searchsorted(names, np.concatenate(new_names or [names]))] = rank
+    places = [by_hash[np.searchsorted(names, seen)][place] for seen, place in parts]
+    return (units.take(pa.array(order)), np.concatenate(sizes or [order])[order],
+            np.concatenate(places or [rank]), np.concatenate([[0], np.cumsum(np.concatenate(counts or [order]))]))
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -331,23 +341,28 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())]))
 
     def units_of(key, table):
-        units, _, _ = _block_units(table, Vocabulary.of(path))
-        place = [i for i, u in enumerate(units) if len(u) <= LONG]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(place), pa.int32()), "place": pa.array(place, pa.int32()),
-                         "unit": pa.array([units[i] for i in place], pa.string())})
+        units, size, _, _ = _block_units(table, Vocabulary.of(path))
+        place = np.flatnonzero(size <= LONG)
+        return pa.table({"block": pa.array(np.full(len(place), key[0].as_py()), pa.int32()),
+                         "place": pa.array(place, pa.int32()), "unit": units.take(pa.array(place))})
 
     def assemble(key, table, answers):
         vocabulary = Vocabulary.of(path)
-        units, place, offsets = _block_units(table, vocabulary)
+        units, length, place, offsets = _block_units(table, vocabulary)
         answers = answers.sort_by("place")
-        lists = answers["packed"].combine_chunks()
-        digits = (lists.flatten().to_numpy()[:, None] >> (bits * np.arange(per - 1, -1, -1))) & ((1 << bits) - 1)
+        rest = answers["rest"].combine_chunks().fill_null(pa.scalar([], pa.list_(pa.int64())))
+        width = 1 + pc.list_value_length(rest).to_numpy()
+        head = np.zeros(width.sum(), bool)
+        head[np.cumsum(width) - width] = True
+        packed = np.empty(len(head), np.int64)
+        packed[head] = answers["first"].to_numpy()
+        packed[~head] = rest.flatten().to_numpy()
+        digits = (packed[:, None] >> (bits * np.arange(per - 1, -1, -1))) & ((1 << bits) - 1)
         used = digits > 0
-        spent = np.concatenate([[0], np.cumsum(used.sum(1))])
         size = np.zeros(len(units), np.int64)
-        at = lists.offsets.to_numpy()
-        size[answers["place"].to_numpy()] = spent[at[1:]] - spent[at[:-1]]
-        own = {i: vocabulary.merge(u) for i, u in enumerate(units) if len(u) > LONG}
+        if len(head):
+            size[answers["place"].to_numpy()] = np.add.reduceat(used.sum(1), np.flatnonzero(head))
+        own = {i: vocabulary.merge(units[i].as_py()) for i in np.flatnonzero(length > LONG).tolist()}
         for i, ids in own.items():
             size[i] = len(ids)
         first = np.concatenate([[0], np.cumsum(size)])
@@ -383,11 +398,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     units = asked.groupBy("unit").agg(F.min("block").alias("block"), F.min("place").alias("place")).where(
         "block >= 0 AND place >= 0").select("unit")
     known = merged(lattice(units, pieces, vocabulary.longest), vocabulary)
-    groups = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / per).cast("int"))
-    packed = F.transform(groups, lambda g: F.aggregate(
-        F.slice("ids", g * per + 1, per), F.lit(0).cast("long"), lambda x, i: x * (1 << bits) + i + 1))
-    answers = asked.join(known.select("unit", packed.alias("packed")).hint("shuffle_hash"), "unit").select(
-        "block", "place", "packed")
+    pack = lambda g: F.aggregate(F.slice("ids", g * per + 1, per), F.lit(0).cast("long"),
+                                 lambda x, i: x * (1 << bits) + i + 1)
+    more = F.transform(F.sequence(F.lit(1), F.floor((F.size("ids") - 1) / per).cast("int")), pack)
+    known = known.select("unit", pack(F.lit(0)).alias("first"), F.when(F.size("ids") > per, more).alias("rest"))
+    answers = asked.join(known.hint("shuffle_hash"), "unit").select("block", "place", "first", "rest")
     schema = T.StructType([T.StructField("id", id_field.dataType), *T._parse_datatype_string(
         "n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids).fields])
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(assemble, schema).withColumnRenamed("id", id_col)
