@@ -27,7 +27,8 @@ def to_matrix(long: DataFrame, index: str, columns: str, value: str,
                                       F.col(columns).cast("string"))).cast("boolean")
     names = [str(v) for v in column_values]
     wide = (long.where(F.col(index).isNotNull() & F.col(columns).isNotNull())
-            .where(F.when(known, F.lit(True)).otherwise(off_list)).groupBy(index).pivot(columns, list(column_values)).agg(F.avg(value)))
+            .where(F.when(known, F.lit(True)).otherwise(off_list))
+            .groupBy(index).pivot(columns, list(column_values)).agg(F.avg(value)))
     any_cell = F.lit(False)
     for n in names:
         any_cell = any_cell | F.col(f"`{n}`").isNotNull()
