@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top")
     ties = banded.join(hubs, "band").where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
     group = stored(components(ties), "groups")
-    sizes = group.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = stored(group.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     packs = max(1, group.count() // PACK)
 
     placed = (group.join(sizes, "root").join(classes, F.col("node") == F.col("key"))
