@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import count_blocks, hashed_block
-from .textops import _power_tables, distinct, mix
+from .textops import _span_hash, distinct
 
 SPACE = "▁"
 LONG = 60
@@ -137,11 +137,8 @@ def cut(texts: list[str], vocabulary: Vocabulary) -> tuple[str, np.ndarray, np.n
     head[1:] = ~vocabulary.joined[number[:-1], number[1:]]
     head[bounds[:-1][bounds[:-1] < len(code)]] = True
     start = np.flatnonzero(head)
-    power, inverse = _power_tables(len(code) + 1)
-    total = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * power[: len(code)], out=total[1:])
     end = np.append(start[1:], len(code)) if len(start) else start
-    return text, start, np.searchsorted(start, bounds), mix((total[end] - total[start]) * inverse[start])
+    return text, start, np.searchsorted(start, bounds), _span_hash(code, start, end)
 
 
 def _bundles(batches, id_type: pa.DataType):
@@ -195,12 +192,14 @@ def _block_units(table: pa.Table, vocabulary: Vocabulary):
         text, start, offsets, h = cut(texts, vocabulary)
         end = np.append(start[1:], len(text)) if len(start) else start
         seen, first, place = distinct(h)
-        fresh = ~np.isin(seen, names)
+        at = np.searchsorted(names, seen)
+        fresh = np.append(names, np.uint64(0))[at] != seen
+        fresh |= at == len(names)
         spans = start[first[fresh]], end[first[fresh]]
         new_units.append(pa.array([text[a:z] for a, z in zip(*(x.tolist() for x in spans))], pa.string()))
         new_names.append(seen[fresh])
         sizes.append(spans[1] - spans[0])
-        names = np.union1d(names, seen)
+        names = np.insert(names, at[fresh], seen[fresh])
         parts.append((seen, place.astype(np.int32)))
         counts.append(np.diff(offsets))
     units = pa.concat_arrays(new_units) if new_units else pa.array([], pa.string())
