@@ -94,7 +94,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
         texts, parts, sizes = table["text"].combine_chunks(), [], [0]
         for lo, hi in row_slices(texts):
             b, off = features(texts.slice(lo, hi - lo))
-            parts.append(b)
+            parts.append(b.astype(np.int32))           # the sample's features are what this task holds
             sizes.extend(np.diff(off))
         w = ftrl(np.concatenate(parts), np.cumsum(sizes), table["_toxic"].to_numpy().astype(float))
         at = np.flatnonzero(w)
