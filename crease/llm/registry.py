@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (cross_polytope, dac, jaccard_join, katz, language_id, packing, positional_index, quality_rules,
-               sentencepiece_lattice, spelling, substring_dedup, toxicity)
+from . import (conversation_repair, cross_polytope, dac, jaccard_join, katz, language_id, packing, positional_index,
+               quality_rules, sentencepiece_lattice, spelling, substring_dedup, toxicity)
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -18,10 +18,12 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
     "op11_spelling": spelling.query,
     "op12_positional_index": positional_index.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op11_spelling": spelling.ORACLE_SQL,
     "op12_positional_index": positional_index.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }

@@ -1,0 +1,133 @@
+"""The positional index and its matches against brute force on small texts."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from crease.llm import positional_index as px
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def brute(docs, items, width=10):
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = words(text), set(), set()
+        for item_id, passage in items:
+            v = words(passage)
+            for s in range(max(1, len(v) - width + 1) if v else 0):
+                window = v[s:s + width]
+                for i in range(len(w) - len(window) + 1):
+                    if w[i:i + len(window)] == window:
+                        hit |= set(range(i, i + len(window)))
+                        found.add("" if item_id is None else str(item_id))
+        out.append((doc_id, len(w), len(hit), len(found), tuple(sorted(found)), bool(hit)))
+    return sorted(out, key=str)
+
+
+def result(df):
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated) for r in df.collect()), key=str)
+
+
+def tables(spark, docs, items):
+    return (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+
+
+def corpus(seed=3):
+    rng = random.Random(seed)
+    vocab = ["the", "of", "la", "Énorme", "naïve", "x1", "42", "日本", "under", "tree", "Over", "ß"] + [f"w{i}" for i in range(40)]
+    text = lambda k: " ".join(rng.choice(vocab) for _ in range(k))
+    items = [(i, text(rng.choice([3, 9, 10, 12, 30]))) for i in range(12)]
+    items += [(20, None), (21, ""), (22, "... !"), (23, "rare"), (None, "the the the the"), (3, text(11)), items[4], (24, "no such words")]
+    docs = [(i, text(rng.choice([0, 5, 40, 90]))) for i in range(40)]
+    for i in range(0, 40, 3):
+        passage = items[i % 12][1]
+        docs[i] = (i, docs[i][1] + " -- " + (passage.upper() if i % 2 else passage.replace(" ", " ,\n")) + " " + text(6))
+    docs += [(50, None), (51, ""), (None, items[0][1]), (None, items[0][1]), docs[3], (53, "the " * 12), (54, "a rare\x00rare thing")]
+    docs += [(55, " ".join([text(20_000), items[6][1], text(100)]))]
+    return docs, items
+
+
+def test_equals_brute_force(spark):
+    docs, items = corpus()
+    assert result(px.decontaminate(*tables(spark, docs, items))) == brute(docs, items)
+
+
+@pytest.mark.parametrize("width", [1, 4])
+def test_other_widths(spark, width):
+    docs, items = corpus(8)
+    docs = docs[:-1]
+    assert result(px.decontaminate(*tables(spark, docs, items), width=width)) == brute(docs, items, width)
+
+
+def test_same_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs, items = corpus(5)
+    monkeypatch.setattr(px, "BROADCAST_ROWS", 0)
+    assert result(px.decontaminate(*tables(spark, docs, items))) == brute(docs, items)
+
+
+def test_empty_tables_and_clashing_names(spark):
+    docs, items = tables(spark, [(1, "one two")], [(1, "one two")])
+    names = ["row", "pos", "term", "code", "terms", "item", "phrase", "n_words", "id", "hook", "start"]
+    more = docs.select("*", *[F.lit(7).alias(n) for n in names])
+    assert result(px.decontaminate(more, items.withColumn("terms", F.lit(1)).withColumn("item", F.lit(2)))) == [(1, 2, 2, 1, ("1",), True)]
+    assert result(px.decontaminate(docs.limit(0), items)) == []
+    assert result(px.decontaminate(docs, items.limit(0))) == [(1, 2, 0, 0, (), False)]
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity_equals_brute_force(spark, slop):
+    rng = random.Random(slop)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(60))) for i in range(12)]
+    phrases = [list("abc"), list("ge"), list("f"), list("aab"), list("gab"), ["a", "zz"]]
+    index = px.build_index(tables(spark, docs, [(1, "")])[0])
+    table = spark.createDataFrame(list(enumerate(phrases)), "phrase long, terms array<string>")
+    ids = {r.row: r.id for r in px.headers(index).collect()}
+    got = sorted((r.phrase, ids[r.row], r.start) for r in px.find(index, table, slop).collect())
+
+    length = {t: sum(text.split().count(t) for _, text in docs) for t in [*"abcdefg", "zz"]}
+    want = set()
+    for p, terms in enumerate(phrases):
+        rarest = min(range(len(terms)), key=lambda k: (length[terms[k]], terms[k], k))
+        for doc_id, text in docs:
+            at = {t: {i + 1 for i, w in enumerate(text.split()) if w == t} for t in terms}
+            for base in at[terms[rarest]]:
+                start = base - rarest
+                if all(any(start + k + d in at[t] for d in range(-slop, slop + 1)) for k, t in enumerate(terms)):
+                    want.add((p, doc_id, start))
+    assert got == sorted(want)
+
+
+def test_index_holds_every_word_once_sorted_inside_files(spark):
+    docs, items = corpus()
+    index = px.build_index(tables(spark, docs, items)[0])
+    rows = index.where("pos > 0").join(px.headers(index).select("row", F.col("id").alias("doc")), "row").collect()
+    want = sorted(((d, i + 1, w) for d, t in docs for i, w in enumerate(words(t))), key=str)
+    assert sorted(((r.doc, r.pos, r.term) for r in rows), key=str) == want
+    by_file = index.select("code", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).collect()
+    for f in {r.f for r in by_file}:
+        codes = [r.code for r in sorted(by_file, key=lambda r: r.i) if r.f == f]
+        assert codes == sorted(codes)
+
+
+def test_plans_run_no_python(spark):
+    docs, items = corpus()
+    plan = px.decontaminate(*tables(spark, docs[:5], items))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_registered_query_on_the_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    want = [(d, n, h, k, hashlib.sha256(",".join(i).encode()).hexdigest(), c) for d, n, h, k, i, c in brute(docs, items)]
+    got = [tuple(r) for r in px.query(spark, folder).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
+    assert sorted(got) == sorted(want) and any(r[-1] for r in got)

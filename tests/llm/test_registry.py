@@ -10,7 +10,7 @@ DIR = "/root/testdata/sf0.01"
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) < set(queries()) and "pipeline" in queries()
     assert set(ORACLE_SQL) <= set(oracle_sql()) and set(ORACLE_SQL) <= set(QUERIES)
 
@@ -31,6 +31,11 @@ COLUMNS = {
             "base_score": "double", "score": "double"},
     "op10": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
              "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op11": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+    "op12": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string",
+             "contaminated": "boolean"},
+    "op13": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint",
+             "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
 }
 
 
@@ -38,7 +43,7 @@ COLUMNS = {
 def test_columns_and_rows(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert COLUMNS.get(name.split("_")[0], {}).items() <= dict(df.dtypes).items()
-    table = {"op1": "pages", "op6": None, "op3": None}.get(name.split("_")[0], "documents")
+    table = {"op1": "pages", "op6": None, "op3": None, "op11": None, "op13": None}.get(name.split("_")[0], "documents")
     if table:
         assert df.count() == spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").count()
     else:
