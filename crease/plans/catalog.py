@@ -18,6 +18,7 @@ from . import faceoffs as fo
 from . import leaderboards as lb
 from . import matrices as mx
 from . import seasons as se
+from . import sequences as sq
 from . import venues as ve
 
 Report = Callable[[Tables], DataFrame]
@@ -94,4 +95,13 @@ QUERIES: dict[str, Report] = {
     "toss_match_winner": lambda t: cl.with_toss_match_winner(t.matches).select(
         "id", "toss_winner", "winner", "Toss_Match_Winner"),
     "canonical_venues": lambda t: cl.canonical_venues(t.matches).select("id", "venue"),
+    # what came before, runs of balls, spans, ranks
+    "last_wicket": _clean(sq.last_wicket),
+    "venue_previous_chase": _matches(sq.venue_previous_chase),
+    "spell_totals": _clean(sq.spell_totals),
+    "award_spans": _matches(sq.award_spans),
+    "bowling_spells": _clean(sq.bowling_spells),
+    "partnerships": _raw(sq.partnerships),
+    "innings_ranks": _raw(sq.innings_ranks),
+    "target_ranks": _matches(sq.target_ranks),
 }
