@@ -6,7 +6,7 @@ extra and its re-bowl) by their other columns.  ``seq`` is over * 100 + ball.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
@@ -16,14 +16,17 @@ from ..operators.ranking import global_ranks
 from .cleaning import canonical_venues
 
 INNINGS = ["match_id", "inning"]
-SEQ = (F.col("over") * 100 + F.col("ball")).alias("seq")
+
+
+def _seq() -> Column:
+    return (F.col("over") * 100 + F.col("ball")).alias("seq")
 
 
 def last_wicket(clean: DataFrame) -> DataFrame:
     """Each ball with the latest wicket that fell before it in its innings (of
     wickets on one ball: the largest by player, then bowler); one over is a bucket."""
-    balls = clean.select(*INNINGS, "over", "ball", "batter", "bowler", "total_runs", SEQ)
-    wickets = clean.where("is_wicket = 1").select(*INNINGS, SEQ, "player_dismissed", "bowler", "dismissal_kind")
+    balls = clean.select(*INNINGS, "over", "ball", "batter", "bowler", "total_runs", _seq())
+    wickets = clean.where("is_wicket = 1").select(*INNINGS, _seq(), "player_dismissed", "bowler", "dismissal_kind")
     found = {"player_dismissed": "last_out", "bowler": "last_wicket_by", "dismissal_kind": "last_kind", "seq": "at"}
     out = asof_join(balls, wickets, INNINGS, "seq", "seq", found, width=100,
                     tie=["player_dismissed", "bowler", "dismissal_kind"], strict=True)
@@ -45,8 +48,8 @@ def venue_previous_chase(matches: DataFrame, days: int = 90) -> DataFrame:
 def spell_totals(clean: DataFrame) -> DataFrame:
     """For every bowler of an innings, the balls and runs of the whole innings
     between the bowler's first and last ball."""
-    balls = clean.select(*INNINGS, SEQ, "total_runs")
-    spells = clean.select(*INNINGS, "bowler", SEQ).groupBy(*INNINGS, "bowler").agg(
+    balls = clean.select(*INNINGS, _seq(), "total_runs")
+    spells = clean.select(*INNINGS, "bowler", _seq()).groupBy(*INNINGS, "bowler").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     inside = interval_join(balls, spells, INNINGS, "seq", "first_seq", "last_seq", levels=3)
     return inside.groupBy(*INNINGS, "bowler", "first_seq", "last_seq").agg(
@@ -67,7 +70,7 @@ def award_spans(matches: DataFrame) -> DataFrame:
 
 def bowling_spells(clean: DataFrame) -> DataFrame:
     """Maximal runs of consecutive balls of an innings by one bowler."""
-    return islands(clean.withColumn("seq", SEQ), INNINGS, "over", ["ball", "batter", "bowler", "total_runs", "is_wicket"],
+    return islands(clean.withColumn("seq", _seq()), INNINGS, "over", ["ball", "batter", "bowler", "total_runs", "is_wicket"],
                    {"first_seq": ("min", F.col("seq")), "last_seq": ("max", F.col("seq")), "Balls": ("count", None),
                     "Runs": ("sum", F.col("total_runs")), "Wickets": ("sum", F.col("is_wicket"))}, state=["bowler"])
 
@@ -75,7 +78,7 @@ def bowling_spells(clean: DataFrame) -> DataFrame:
 def partnerships(deliveries: DataFrame) -> DataFrame:
     """Balls and runs of an innings up to each wicket, and after the last one
     (``Ended`` 0); every ball counts, wides and no-balls too."""
-    return islands(deliveries.withColumn("seq", SEQ), INNINGS, "over", ["ball", "is_wicket", "batter", "bowler", "total_runs"],
+    return islands(deliveries.withColumn("seq", _seq()), INNINGS, "over", ["ball", "is_wicket", "batter", "bowler", "total_runs"],
                    {"first_seq": ("min", F.col("seq")), "last_seq": ("max", F.col("seq")), "Balls": ("count", None),
                     "Runs": ("sum", F.col("total_runs")), "Ended": ("max", F.col("is_wicket"))}, ends=F.col("is_wicket") == 1)
 
