@@ -19,6 +19,7 @@ from . import leaderboards as lb
 from . import matrices as mx
 from . import seasons as se
 from . import sequences as sq
+from . import summaries as su
 from . import venues as ve
 
 Report = Callable[[Tables], DataFrame]
@@ -104,4 +105,11 @@ QUERIES: dict[str, Report] = {
     "partnerships": _raw(sq.partnerships),
     "innings_ranks": _raw(sq.innings_ranks),
     "target_ranks": _matches(sq.target_ranks),
+    # mergeable summaries: sketches, cube, refreshed sums
+    "faceoff_counts": lambda t: su.faceoff_counts(cl.clean_deliveries(t.deliveries), t.matches),
+    "faceoff_overlap": lambda t: su.faceoff_overlap(cl.clean_deliveries(t.deliveries), t.matches),
+    "target_box": _matches(su.target_box),
+    "scoring_cube": lambda t: su.scoring_cube(cl.clean_deliveries(t.deliveries), t.matches),
+    "match_changes": _raw(su.match_changes),
+    "refreshed_batting": _raw(su.refreshed_batting),
 }

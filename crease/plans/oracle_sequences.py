@@ -1,4 +1,5 @@
-"""SQL of the ordered reports, over the CTEs of ``oracle``; plain windows, ASOF and range joins."""
+"""SQL of the ordered reports and the summaries, over the CTEs of ``oracle``: plain
+windows, ASOF and range joins, CUBE, EXCEPT ALL."""
 
 _SEQ = '"over" * 100 + ball'
 _INNINGS = "match_id, inning"
@@ -58,3 +59,48 @@ FROM sp JOIN matches m ON m."date" BETWEEN sp.first_award AND sp.last_award GROU
         "target_ranks": put("t AS (SELECT id, target_runs FROM matches)\n"
                             + _ranked("t", "target_runs ASC NULLS FIRST", _order("id"), 10, False)),
     }
+
+
+def summary_sql(ctes: str, venue: str) -> dict[str, str]:
+    """SQL of the reports over summaries: the same figures from the rows themselves."""
+    put = lambda body: f"{ctes},\n{body}"
+    pairs = "p AS (SELECT DISTINCT c.batting_team, m.season, concat_ws('|', c.batter, c.bowler) AS pair FROM clean c JOIN matches m ON c.match_id = m.id)"
+    old = """played AS (SELECT * REPLACE (CAST(CASE WHEN match_id % 7 = 2 THEN (batsman_runs + 1) % 7 ELSE batsman_runs END AS INTEGER) AS batsman_runs)
+  FROM deliveries WHERE match_id % 10 <> 3),
+old AS (SELECT * FROM played UNION ALL SELECT * FROM played WHERE match_id % 13 = 5)"""
+    return {
+        "faceoff_counts": put(f"""{pairs}
+SELECT batting_team, season, CAST(grouping(batting_team, season) AS BIGINT) AS level, count(DISTINCT pair) AS Pairs
+FROM p GROUP BY GROUPING SETS ((batting_team, season), (batting_team), (season), ())"""),
+        "faceoff_overlap": put(f"""{pairs},
+s AS (SELECT DISTINCT season, pair FROM p),
+o AS (SELECT season, lag(season) OVER (ORDER BY season) AS before FROM (SELECT DISTINCT season FROM s)),
+j AS (SELECT o.season, o.before, coalesce(a.pair, b.pair) AS pair, a.pair IS NOT NULL AS now, b.pair IS NOT NULL AS past
+  FROM o JOIN (SELECT DISTINCT pair FROM s) u ON TRUE LEFT JOIN s a ON a.season = o.season AND a.pair = u.pair
+  LEFT JOIN s b ON b.season = o.before AND b.pair = u.pair)
+SELECT season, before, count(CASE WHEN now OR past THEN 1 END) AS "Either", count(CASE WHEN now AND past THEN 1 END) AS "Both",
+  count(CASE WHEN now AND NOT past THEN 1 END) AS "New"
+FROM j WHERE before IS NOT NULL GROUP BY season, before"""),
+        "target_box": put("""q AS (SELECT season, count(target_runs) AS n, CAST(min(target_runs) AS DOUBLE) AS "min", CAST(max(target_runs) AS DOUBLE) AS "max",
+  CAST(quantile_disc(target_runs, 0.25) AS DOUBLE) AS q1, CAST(quantile_disc(target_runs, 0.5) AS DOUBLE) AS median,
+  CAST(quantile_disc(target_runs, 0.75) AS DOUBLE) AS q3 FROM matches GROUP BY season),
+f AS (SELECT *, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lo, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS hi FROM q)
+SELECT f.season, n, f."min", q1, median, q3, f."max",
+  least(min(CASE WHEN m.target_runs > lo THEN CAST(m.target_runs AS DOUBLE) END), q1) AS whisker_lo,
+  greatest(max(CASE WHEN m.target_runs <= hi THEN CAST(m.target_runs AS DOUBLE) END), q3) AS whisker_hi,
+  count(CASE WHEN m.target_runs <= lo OR m.target_runs > hi THEN 1 END) AS outliers
+FROM f JOIN matches m ON m.season IS NOT DISTINCT FROM f.season GROUP BY f.season, n, f."min", f."max", q1, median, q3, lo, hi"""),
+        "scoring_cube": put(f"""x AS (SELECT c.batting_team, m.season, m.venue, CAST(CAST(ceil((c."over" + 1) / 4) AS BIGINT) AS VARCHAR) AS phase, total_runs, is_wicket
+  FROM clean c JOIN (SELECT id, season, {venue} AS venue FROM matches) m ON c.match_id = m.id)
+SELECT batting_team, season, venue, phase, CAST(grouping(batting_team, season, venue, phase) AS BIGINT) AS level,
+  count(*) AS Balls, CAST(sum(total_runs) AS BIGINT) AS Runs, CAST(sum(is_wicket) AS BIGINT) AS Wickets
+FROM x GROUP BY CUBE (batting_team, season, venue, phase)"""),
+        "match_changes": put(f"""{old},
+more AS (SELECT match_id, count(*) AS n FROM (SELECT * FROM deliveries EXCEPT ALL SELECT * FROM old) GROUP BY match_id),
+fewer AS (SELECT match_id, count(*) AS n FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM deliveries) GROUP BY match_id)
+SELECT match_id, CASE WHEN f.n IS NULL THEN 'added' WHEN m.n IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  coalesce(m.n, 0) AS added, coalesce(f.n, 0) AS removed FROM more m FULL JOIN fewer f USING (match_id)"""),
+        "refreshed_batting": put("""b AS (SELECT match_id, batter, count(*) AS Balls, CAST(sum(batsman_runs) AS BIGINT) AS Runs, CAST(sum(is_wicket) AS BIGINT) AS Outs
+  FROM deliveries GROUP BY match_id, batter)
+SELECT * FROM b"""),
+    }
