@@ -20,6 +20,7 @@ chunks are read back, joined with their places, and cut.
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 
 import numpy as np
@@ -145,13 +146,18 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, le
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces (``PIECES``) of all documents, in sequences of ``length`` tokens.
 
-    ``targets``: weight by source; by default every queue's share is its share
-    of all tokens, so each window mirrors the corpus.  Sources without a weight
+    ``targets``: weight by source, positive and finite (others are refused by
+    name; leave a source out of ``docs`` to leave it out); by default every
+    queue's share is its share of all tokens, so each window mirrors the corpus.
+    Weights of sources that do not occur change nothing.  Sources without a weight
     share the weight 1 queue of the rest; so do null sources and, beyond
     ``MAX_QUEUES`` sources, the smallest ones.  Only the last sequence is short
     (a writer pads it).  Null and empty texts hold their end id alone.  Rows
     with null or repeated ids are packed like any others.
     """
+    refused = {s: w for s, w in (targets or {}).items() if not 0 < w < math.inf}
+    if refused:
+        raise ValueError(f"target weights must be positive and finite: {refused}")
     chunks = stored(tokenised(docs, path, id_col, text_col, source_col), "chunks")
     sizes = (chunks.select("chunk", F.explode(F.arrays_zip("sources", "sizes")).alias("d"))
              .groupBy("chunk", F.col("d.sources").alias("source")).agg(F.sum("d.sizes").alias("n")))

@@ -87,3 +87,17 @@ def test_more_sources_than_queues_pool_the_rest(spark, monkeypatch):
     rows = corpus()[:-1]
     got = p.pack(frame(spark, rows), PATH, length=128).collect()
     assert sum(r.length for r in got) == sum(len(i) for _, i in true_ids(rows))
+
+
+@pytest.mark.parametrize("weight", [0, 0.0, -1.0, float("nan"), float("inf")])
+def test_weights_that_would_lose_documents_are_refused_by_name(spark, weight):
+    with pytest.raises(ValueError, match="s1"):
+        p.pack(frame(spark), PATH, targets={"s0": 1.0, "s1": weight})
+
+
+@pytest.mark.parametrize("targets", [{}, {"nowhere": 2.0}, {"s0": 1e-6, "nowhere": 5.0}, {"s0": 1e6}])
+def test_absent_empty_and_extreme_targets_lose_no_id(spark, targets):
+    rows = corpus()[:-1]
+    got = p.pack(frame(spark, rows), PATH, targets=targets, length=128).collect()
+    assert sum(r.length for r in got) == sum(len(i) for _, i in true_ids(rows))
+    assert len({(r.doc_id, r.start) for r in got}) == len(got)
