@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .topk import in_order
+
 
 def to_matrix(long: DataFrame, index: str, columns: str, value: str,
               column_values: Sequence) -> DataFrame:
@@ -32,4 +34,4 @@ def to_matrix(long: DataFrame, index: str, columns: str, value: str,
     any_cell = F.lit(False)
     for n in names:
         any_cell = any_cell | F.col(f"`{n}`").isNotNull()
-    return wide.where(any_cell).orderBy(F.asc(index))
+    return in_order(wide.where(any_cell), F.asc(index))

@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` sorted, for a finished report of a bounded number of rows (teams x
+    overs, say): its rows are gathered and sorted by one task.  A global
+    ``orderBy`` would first sample the rows for ranges, a job of its own that runs
+    the whole plan below it."""
+    return df.repartition(1).sortWithinPartitions(*order)
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows under ``order``.
 

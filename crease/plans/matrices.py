@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..functions import constants as C
 from ..operators.matrix import to_matrix
+from ..operators.topk import in_order
 from .cleaning import canonical_teams, legal_deliveries
 
 OVERS = list(range(C.OVERS_PER_INNINGS))
@@ -35,9 +36,9 @@ def team_over_run_rate(deliveries: DataFrame, teams: tuple[str, ...] = C.TEAM_PA
     Ordered by team and over, both descending.
     """
     raw = legal_deliveries(deliveries).where(F.col("batting_team").isin(*X.raw_names(teams, C.TEAM_ALIASES)))
-    return (canonical_teams(raw).groupBy("batting_team", "over")
-            .agg(F.sum("total_runs").alias("Runs_Scored"), _rate("total_runs", "Run_Rate"))
-            .orderBy(F.desc("batting_team"), F.desc("over")))
+    rates = (canonical_teams(raw).groupBy("batting_team", "over")
+             .agg(F.sum("total_runs").alias("Runs_Scored"), _rate("total_runs", "Run_Rate")))
+    return in_order(rates, F.desc("batting_team"), F.desc("over"))
 
 
 def run_rate_long(clean: DataFrame) -> DataFrame:
@@ -62,35 +63,38 @@ def run_rate_matrix(clean: DataFrame, overs: Sequence[int] = OVERS) -> DataFrame
     return to_matrix(run_rate_long(clean), "batting_team", "over", "Run_Rate", overs)
 
 
+def _conceded(clean: DataFrame) -> DataFrame:
+    return clean.groupBy("bowling_team", "over").agg(_rate("total_runs", "avg_runs"))
+
+
 def conceded_long(clean: DataFrame) -> DataFrame:
     """Runs conceded per over by bowling team; both descending."""
-    return (clean.groupBy("bowling_team", "over").agg(_rate("total_runs", "avg_runs"))
-            .orderBy(F.desc("bowling_team"), F.desc("over")))
+    return in_order(_conceded(clean), F.desc("bowling_team"), F.desc("over"))
 
 
 def conceded_matrix(clean: DataFrame, overs: Sequence[int] = OVERS) -> DataFrame:
-    return to_matrix(conceded_long(clean), "bowling_team", "over", "avg_runs", overs)
+    return to_matrix(_conceded(clean), "bowling_team", "over", "avg_runs", overs)
 
 
 def _phase_wickets(clean: DataFrame, team: str) -> DataFrame:
-    """Wickets per four-over phase: mean wicket flag per ball x 24 (run outs
-    included); ordered by team and phase, both descending."""
+    """Wickets per four-over phase: mean wicket flag per ball x 24 (run outs included)."""
     return (clean.withColumn("Overs", X.phase("over")).groupBy(team, "Overs")
-            .agg(F.round(F.avg("is_wicket") * C.BALLS_PER_OVER * C.OVERS_PER_PHASE, 5).alias("Wickets"))
-            .orderBy(F.desc(team), F.desc("Overs")))
+            .agg(F.round(F.avg("is_wicket") * C.BALLS_PER_OVER * C.OVERS_PER_PHASE, 5).alias("Wickets")))
 
 
 def team_phase_wkts_taken(clean: DataFrame) -> DataFrame:
-    return _phase_wickets(clean, "bowling_team")
+    """By bowling team and phase, both descending."""
+    return in_order(_phase_wickets(clean, "bowling_team"), F.desc("bowling_team"), F.desc("Overs"))
 
 
 def team_phase_wkts_lost(clean: DataFrame) -> DataFrame:
-    return _phase_wickets(clean, "batting_team")
+    """By batting team and phase, both descending."""
+    return in_order(_phase_wickets(clean, "batting_team"), F.desc("batting_team"), F.desc("Overs"))
 
 
 def wkts_taken_matrix(clean: DataFrame, phases: Sequence[int] = PHASES) -> DataFrame:
-    return to_matrix(team_phase_wkts_taken(clean), "bowling_team", "Overs", "Wickets", phases)
+    return to_matrix(_phase_wickets(clean, "bowling_team"), "bowling_team", "Overs", "Wickets", phases)
 
 
 def wkts_lost_matrix(clean: DataFrame, phases: Sequence[int] = PHASES) -> DataFrame:
-    return to_matrix(team_phase_wkts_lost(clean), "batting_team", "Overs", "Wickets", phases)
+    return to_matrix(_phase_wickets(clean, "batting_team"), "batting_team", "Overs", "Wickets", phases)

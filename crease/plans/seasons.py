@@ -16,7 +16,7 @@ from ..functions import columns as X
 from ..functions import constants as C
 from ..operators.dimension import rollup_by_dimension
 from ..operators.distribution import box_summary
-from ..operators.topk import leaders, top_k
+from ..operators.topk import in_order, leaders, top_k
 
 RUNS_SEASON = "Most_Runs_in_a_Single_Season"
 WKTS_SEASON = "Most_Wickets_in_a_Single_Season"
@@ -80,4 +80,4 @@ def season_innings_box(deliveries: DataFrame, matches: DataFrame,
         return box_summary(totals, ["season"], "Runs")
     totals = totals.where(F.col("season").isin(*seasons))
     order = F.array_position(F.array(*[F.lit(s) for s in seasons]), F.col("season")).cast("int")
-    return box_summary(totals, ["season"], "Runs").withColumn("season_order", order).orderBy("season_order")
+    return in_order(box_summary(totals, ["season"], "Runs").withColumn("season_order", order), F.asc("season_order"))

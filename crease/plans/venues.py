@@ -9,6 +9,7 @@ from ..functions import columns as X
 from ..functions import constants as C
 from ..operators.dimension import rollup_by_dimension
 from ..operators.matrix import to_matrix
+from ..operators.topk import in_order
 
 INNINGS = [1, 2]      # every innings the report keeps
 
@@ -40,8 +41,8 @@ def venue_max_chase(matches: DataFrame) -> DataFrame:
     case folding here).  Venues with no name or no target are left out.
     Highest target first (then by name).
     """
-    return (matches.where(F.col("result") == C.RESULT_WICKETS)
+    best = (matches.where(F.col("result") == C.RESULT_WICKETS)
             .select(X.canonical("venue", C.VENUE_ALIASES).alias("venue"), "target_runs")
             .groupBy("venue").agg(F.max("target_runs").alias("Highest_Chased_Total"))
-            .where(F.col("venue").isNotNull() & F.col("Highest_Chased_Total").isNotNull())
-            .orderBy(F.desc("Highest_Chased_Total"), F.asc("venue")))
+            .where(F.col("venue").isNotNull() & F.col("Highest_Chased_Total").isNotNull()))
+    return in_order(best, F.desc("Highest_Chased_Total"), F.asc("venue"))

@@ -97,3 +97,22 @@ def test_running_score_shuffles_the_balls_once(spark):
     assert len(exchanges) == 4 and "coalesce" not in " ".join(exchanges)
     balls = p[p.index("Window"):p.index("SortMergeJoin")]
     assert "Exchange" not in balls                                # the last window reuses the join's partitioning
+
+
+SORTED = ("team_over_run_rate", "conceded_long", "team_phase_wkts_taken", "team_phase_wkts_lost", "run_rate_matrix", "conceded_matrix",
+          "wkts_taken_matrix", "wkts_lost_matrix", "venue_innings_matrix", "venue_max_chase", "season_innings_box_ordered")
+
+
+def test_small_reports_are_sorted_once_and_not_by_range(spark):
+    for name in SORTED:
+        p = _plan(spark, name)
+        assert "rangepartitioning" not in p, name
+        assert len(re.findall(r"Exchange SinglePartition", p)) == 1, name
+        assert p.index("Sort [") < p.index("Exchange"), name
+
+
+def test_no_new_report_gathers_the_table_in_one_task(spark):
+    for name in ("last_wicket", "venue_previous_chase", "spell_totals", "award_spans", "bowling_spells", "partnerships", "match_changes",
+                 "refreshed_batting"):
+        p = _plan(spark, name)
+        assert "SinglePartition" not in p and "NestedLoop" not in p and "Cartesian" not in p, name
