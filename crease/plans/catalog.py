@@ -41,6 +41,15 @@ def _matches(fn) -> Report:
     return lambda t: fn(t.matches)
 
 
+def _dates_as_text(report: Report) -> Report:
+    """Dates as ``2020-04-01``: the same text in every client, NULL or not."""
+    def texts(t: Tables) -> DataFrame:
+        df = report(t)
+        return df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    return texts
+
+
 QUERIES: dict[str, Report] = {
     # career leaderboards (raw deliveries)
     "top_runs": _raw(lb.top_runs),
@@ -98,9 +107,9 @@ QUERIES: dict[str, Report] = {
     "canonical_venues": lambda t: cl.canonical_venues(t.matches).select("id", "venue"),
     # what came before, runs of balls, spans, ranks
     "last_wicket": _clean(sq.last_wicket),
-    "venue_previous_chase": _matches(sq.venue_previous_chase),
+    "venue_previous_chase": _dates_as_text(_matches(sq.venue_previous_chase)),
     "spell_totals": _clean(sq.spell_totals),
-    "award_spans": _matches(sq.award_spans),
+    "award_spans": _dates_as_text(_matches(sq.award_spans)),
     "bowling_spells": _clean(sq.bowling_spells),
     "partnerships": _raw(sq.partnerships),
     "innings_ranks": _raw(sq.innings_ranks),

@@ -39,7 +39,7 @@ FROM b ASOF LEFT JOIN wk ON b.match_id = wk.match_id AND b.inning = wk.inning AN
         "venue_previous_chase": put(f"""named AS (SELECT id, {venue} AS venue, "date", result, target_runs FROM matches),
 ch AS (SELECT venue, "date" AS d, id, target_runs FROM named WHERE result = 'wickets' AND venue IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY venue, "date" ORDER BY id DESC) = 1)
-SELECT n.id, n.venue, n."date", coalesce(ch.id, -1) AS previous_id, ch.d AS previous_date, CAST(ch.target_runs AS DOUBLE) AS previous_target
+SELECT n.id, n.venue, CAST(n."date" AS VARCHAR) AS "date", coalesce(ch.id, -1) AS previous_id, CAST(ch.d AS VARCHAR) AS previous_date, CAST(ch.target_runs AS DOUBLE) AS previous_target
 FROM named n ASOF LEFT JOIN ch ON n.venue = ch.venue AND n."date" > ch.d"""),
         "spell_totals": put(f"""b AS (SELECT *, CAST({_SEQ} AS INTEGER) AS seq FROM clean),
 sp AS (SELECT {_INNINGS}, bowler, min(seq) AS first_seq, max(seq) AS last_seq FROM b GROUP BY {_INNINGS}, bowler)
@@ -47,8 +47,9 @@ SELECT sp.*, count(*) AS Balls, CAST(sum(b.total_runs) AS BIGINT) AS Runs
 FROM sp JOIN b ON sp.match_id = b.match_id AND sp.inning = b.inning AND b.seq BETWEEN sp.first_seq AND sp.last_seq GROUP BY ALL"""),
         "award_spans": put("""sp AS (SELECT player_of_match, min("date") AS first_award, max("date") AS last_award FROM matches
   WHERE player_of_match IS NOT NULL GROUP BY player_of_match)
-SELECT sp.*, count(*) AS Matches, CAST(sum(m.target_runs) AS BIGINT) AS Target_Runs
-FROM sp JOIN matches m ON m."date" BETWEEN sp.first_award AND sp.last_award GROUP BY ALL"""),
+SELECT sp.player_of_match, CAST(first_award AS VARCHAR) AS first_award, CAST(last_award AS VARCHAR) AS last_award,
+  count(*) AS Matches, CAST(sum(m.target_runs) AS BIGINT) AS Target_Runs
+FROM sp JOIN matches m ON m."date" BETWEEN sp.first_award AND sp.last_award GROUP BY sp.player_of_match, first_award, last_award"""),
         "bowling_spells": put(_runs("clean", _order('"over"', "ball", "batter", "bowler", "total_runs", "is_wicket"),
                                     "CASE WHEN bowler IS NOT DISTINCT FROM lag(bowler) {w} AND row_number() {w} > 1 THEN 0 ELSE 1 END",
                                     "bowler,", "CAST(sum(is_wicket) AS BIGINT) AS Wickets")),
