@@ -58,27 +58,23 @@ def global_ranks(df: DataFrame, order: str, tie: Sequence[str], tiles: int = 100
 
     sizes = dealt.groupBy("_block", "_part").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("_v") if dense else F.lit(0).cast("long")).alias("d"),
                                                    F.max("_alone").alias("alone"))
+    inside = Window.partitionBy("_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.select("_block", "_part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("_before"))
     # an array of a row a block, in order; each gets the sums before it
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("_block", "_part", "n", "d", "alone"))).alias("s"))
-    zero = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("of_block"), F.lit(0).cast("long").alias("values"),
-                    F.lit(None).cast("long").alias("last"))
+    values = F.greatest(F.max("d"), F.max("alone").cast("long")).alias("d")
+    listed = sizes.groupBy("_block").agg(F.sum("n").alias("n"), values).agg(
+        F.array_sort(F.collect_list(F.struct("_block", "n", "d"))).alias("s"))
+    zero = F.lit(0).cast("long")
+    entries = F.array().cast("array<struct<_block:bigint,_start:bigint,_values:bigint,_in_block:bigint>>")
 
     def add(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        same = x["_block"].eqNullSafe(now["last"])
-        start = F.when(same, now["of_block"]).otherwise(now["rows"])
-        values = F.when(same, now["values"]).otherwise(now["values"] + F.greatest(x["d"], x["alone"].cast("long")))
-        before = F.when(same, now["values"] - 1).otherwise(now["values"])
-        entry = F.struct(x["_block"].alias("_block"), x["_part"].alias("_part"), now["rows"].alias("_rows"),
-                         start.alias("_start"), before.alias("_values"))
-        after = F.struct((now["rows"] + x["n"]).alias("rows"), start.alias("of_block"), values.alias("values"), x["_block"].alias("last"))
-        return F.struct(after.alias("now"), F.concat(acc["out"], F.array(entry)).alias("out"))
+        entry = F.struct(x["_block"].alias("_block"), acc["rows"].alias("_start"), acc["values"].alias("_values"), x["n"].alias("_in_block"))
+        return F.struct((acc["rows"] + x["n"]).alias("rows"), (acc["values"] + x["d"]).alias("values"),
+                        F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    entries = F.array().cast("array<struct<_block:bigint,_part:bigint,_rows:bigint,_start:bigint,_values:bigint>>")
-    summed = listed.select(F.aggregate("s", F.struct(zero.alias("now"), entries.alias("out")), add).alias("x"))
-    by_block = F.col("s._block")
-    whole = listed.select(F.explode("s").alias("s")).groupBy(by_block.alias("_block")).agg(F.sum("s.n").alias("_in_block"))
-    offsets = (summed.select(F.col("x.now.rows").alias("_total"), F.inline("x.out")).join(whole, "_block"))
+    summed = listed.select(F.aggregate("s", F.struct(zero.alias("rows"), zero.alias("values"), entries.alias("out")), add).alias("x"))
+    starts = summed.select(F.col("x.rows").alias("_total"), F.inline("x.out"))
+    offsets = starts.join(parts, "_block").withColumn("_rows", F.col("_start") + F.col("_before"))
 
     by_value = F.desc_nulls_last("_v") if descending else F.asc_nulls_first("_v")
     unit = Window.partitionBy("_block", "_part")
