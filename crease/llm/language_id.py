@@ -36,21 +36,60 @@ DIM = 1 << 14
 SMOOTH = 0.5
 TEMPER = 1 / 3
 STRENGTH = 5.0
+LEAST_SHARE = 0.001            # of the labelled documents, for a label to be a language: 1,000 languages at most
 NONE, OTHER = "", "?"          # nothing declared; a language that no document has
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
+_HIDING = re.compile(r"<!--|<(script|style|noscript|template)\b", re.IGNORECASE | re.ASCII)
+_ENDS = {"": re.compile("-->"), **{x: re.compile(rf"</{x}\s*>", re.IGNORECASE | re.ASCII)
+                                   for x in ("script", "style", "noscript", "template")}}
 _TAG = re.compile(r"<[^<>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b"
-                       r"|<meta\b[^>]*\bcontent-language\b[^>]*\bcontent\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.IGNORECASE)
+_TELLING = re.compile(r"<(html|meta)\b", re.IGNORECASE | re.ASCII)
+_ATTRIBUTE = re.compile(r"(?<![\w:-])([a-z][\w:-]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))", re.IGNORECASE | re.ASCII)
+_CODE = re.compile(r"\s*([a-z]{2,3})\b", re.IGNORECASE | re.ASCII)
+_HUGE_REFERENCE = re.compile(r"&#[0-9]{1000,}+;?")        # more digits than int() takes; no character
+
+
+def shown(page: str) -> str:
+    """The page without comments, scripts, styles and the like; one that never
+    ends hides nothing.  One forward scan: an end that is missing once is never
+    looked for again."""
+    kept, at, endless, pos = [], 0, set(), 0
+    while m := _HIDING.search(page, pos):
+        kind = (m[1] or "").lower()
+        end = None if kind in endless else _ENDS[kind].search(page, m.end())
+        if end is None:
+            endless.add(kind)
+            pos = m.end()
+            continue
+        kept.append(page[at:m.start()])
+        at = pos = end.end()
+    return " ".join([*kept, page[at:]])
 
 
 def visible(page: str | None) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    return html.unescape(_HUGE_REFERENCE.sub("\ufffd", _TAG.sub(" ", shown(page or ""))))
 
 
 def declared(page: str | None) -> str:
-    m = _DECLARED.search(page or "")
-    return (m[1] or m[2]).lower() if m else NONE
+    """The language that the first ``<html ...>`` tag names, or the first
+    content-language ``<meta ...>`` where that stands before it or it names none."""
+    page, pos, opened = page or "", 0, False
+    while m := _TELLING.search(page, pos):
+        end = page.find(">", m.end())
+        if end < 0:
+            break
+        pos, tag = end, m[1].lower()
+        if tag == "html" and opened:
+            continue
+        opened |= tag == "html"
+        given = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in reversed(list(_ATTRIBUTE.finditer(page, m.end(), end)))}
+        if tag == "html":
+            said = given.get("lang") or given.get("xml:lang")
+        else:
+            said = given.get("content") if given.get("http-equiv", "").strip().lower() == "content-language" else None
+        if code := _CODE.match(said or ""):
+            return code[1].lower()
+    return NONE
 
 
 def address(url: str | None) -> tuple[str, str, str]:
@@ -77,12 +116,14 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint32(18)).astype(np.int64)[inside], of[:-2][inside]
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+          least_share: float = LEAST_SHARE) -> tuple[list[str], np.ndarray]:
     """(languages, log P(bucket | language)), counted over all labelled documents.
 
     A language is a label's primary subtag of two or three letters, in any case
-    (``de``, ``DE-at``); rows with any other label are not labelled.  That bounds
-    the model: ``DIM`` numbers for each code in use.
+    (``de``, ``DE-at``); rows with any other label are not labelled, nor are those
+    of a code that fewer than ``LEAST_SHARE`` of the labelled documents bear.  That
+    bounds the model: ``DIM`` numbers for each of 1 / ``LEAST_SHARE`` codes at most.
     """
 
     def count(batches):
@@ -100,8 +141,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
                                               pa.array(got[seen])], ["lang", "bucket", "n"])
 
     code = F.lower(F.regexp_extract(F.col(lang_col).cast("string"), r"^\s*([A-Za-z]{2,3})(?:[-_].*|\s*)$", 1))
-    sums = (docs.select(F.col(text_col).alias("text"), code.alias("lang")).where("lang <> ''")
-            .mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    labelled = docs.select(F.col(text_col).alias("text"), code.alias("lang")).where("lang <> ''")
+    bearers = labelled.groupBy("lang").count()
+    labels = bearers.agg(F.sum("count")).first()[0] or 0
+    common = [r.lang for r in bearers.where(F.col("count") >= least_share * labels).collect()]
+    sums = (labelled.where(F.col("lang").isin(*common)).mapInArrow(count, "lang string, bucket int, n long")
+            .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
             .toPandas())                             # DIM rows a language at most
     langs = sorted(sums["lang"].unique())
     counts = np.zeros((len(langs), DIM))
@@ -181,7 +226,8 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
         return F.zip_with(left, parent, lambda c, p: (c + STRENGTH * p) / (size + STRENGTH))
 
     fused = (seen.join(hosts.drop("domain"), "host").join(domains, "domain")
-             .join(given("declared"), "declared").join(given("suffix"), "suffix")
+             .join(F.broadcast(given("declared")), "declared")        # a row a language, and two
+             .join(given("suffix"), "suffix")
              .withColumn("domain_prior", smoothed(F.col("domain_n"), F.col("soft"), base))
              .withColumn("prior", smoothed(F.col("host_n"), F.col("soft"), F.col("domain_prior")))
              .withColumn("posteriors", _softmax(_add(F.col("logs"), F.col("declared_logs"), F.col("suffix_logs"),
