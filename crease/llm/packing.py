@@ -1,14 +1,15 @@
 """Packing: mixture-controlled packing by deficit round robin over source queues.
 
-Each source is a queue of tokens.  A window (a sequence of ``LENGTH`` tokens) is
-a round: every queue earns its share of the window, spends whole tokens, and
-carries what is left -- its deficit -- to the next round, so a queue is never a
-whole token off its target, whatever the window.  With one-token quanta the
-round robin serves tokens in the order of (k / rate, queue), k being the token's
-place in its queue; a drained queue's share goes to the others.  So the state at
-any window follows from the queues' totals alone (``served``): tasks start in
-the middle with exactly the deficits the earlier windows left, and none waits
-for another.
+Each source is a queue of tokens, served by quanta of ``QUANTUM`` tokens.  In a
+round every queue earns its share, spends whole quanta, and carries what is left
+-- its deficit, less than a quantum -- to the next round; a window (a sequence of
+``LENGTH`` tokens) ends where it ends, inside a quantum if need be, and the next
+one goes on there.  Long quanta keep documents whole, short ones keep each window
+nearer to its target.  The round robin serves quanta in the order of (tokens of
+the queue up to the quantum's end / rate, queue); a drained queue's share goes to
+the others.  So the state at any window follows from the queues' totals alone
+(``served``): tasks start in the middle with exactly the deficits the earlier
+windows left, and none waits for another.
 
 Plan.  1. Documents are tokenised once, in scan order, into chunks (rows of a
 stored table: ids packed, compressed by the writer).  2. Token counts by chunk
@@ -36,6 +37,8 @@ from .tokens import SLICE_BYTES, PartEncoder
 LENGTH = 2048
 END_ID = 1
 CHUNK_TOKENS = 2_000_000
+QUANTUM = 256
+TEMPER = 0.7             # of the query: sources weigh tokens ** TEMPER, rare ones more than in the corpus
 MAX_QUEUES = 1024        # smaller sources share one more queue; no row is left out
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -75,15 +78,16 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encode, "chunk long, doc_ids array<long>, sources array<string>, sizes array<long>, ids binary")
 
 
-def _until(v: np.ndarray, totals: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """Tokens of each queue (columns) whose time k / rate is at most v (rows)."""
-    v = v[:, None]
-    k = np.minimum(np.floor(v * rates), totals)
-    k = np.where((k < totals) & ((k + 1) / rates <= v), k + 1, k)
-    return np.where(k / rates > v, k - 1, k).astype(np.int64)
+def _until(v: np.ndarray, totals: np.ndarray, rates: np.ndarray, quantum: int) -> np.ndarray:
+    """Quanta of each queue (columns) that end, at tokens / rate, by time v (rows)."""
+    v, most = v[:, None], -(-totals // quantum)
+    end = lambda k: np.minimum(k * quantum, totals) / rates
+    k = np.minimum(np.floor(v * rates / quantum), most)
+    k = np.where((k < most) & (end(k + 1) <= v), k + 1, k)
+    return np.where(end(k) > v, k - 1, k).astype(np.int64)
 
 
-def served(ranks: np.ndarray, totals: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def served(ranks: np.ndarray, totals: np.ndarray, rates: np.ndarray, quantum: int = 1) -> np.ndarray:
     """(ranks, queues): how many tokens of each queue are among the first ``rank``."""
     low = np.zeros(len(ranks))
     high = np.full(len(ranks), (totals / rates).max() * 2 + 1)
@@ -92,23 +96,26 @@ def served(ranks: np.ndarray, totals: np.ndarray, rates: np.ndarray) -> np.ndarr
         open_ = (mid > low) & (mid < high)
         if not open_.any():
             break
-        fits = _until(mid, totals, rates).sum(1) <= ranks
+        fits = np.minimum(_until(mid, totals, rates, quantum) * quantum, totals).sum(1) <= ranks
         low = np.where(open_ & fits, mid, low)
         high = np.where(open_ & ~fits, mid, high)
-    out = _until(low, totals, rates)
-    nxt = (out < totals) & ((out + 1) / rates <= high[:, None])      # the ties just after
-    return out + (nxt & (np.cumsum(nxt, 1) <= (ranks - out.sum(1))[:, None]))
+    out = np.minimum(_until(low, totals, rates, quantum) * quantum, totals)
+    more = np.minimum(out + quantum, totals)
+    size = np.where((more > out) & (more / rates <= high[:, None]), more - out, 0)   # the quanta that end just after
+    return out + np.clip((ranks - out.sum(1))[:, None] - (np.cumsum(size, 1) - size), 0, size)
 
 
-def rank_of(queue: int, place: np.ndarray, totals: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def rank_of(queue: int, place: np.ndarray, totals: np.ndarray, rates: np.ndarray, quantum: int = 1) -> np.ndarray:
     """Serving rank (from 0) of tokens at ``place`` (from 0) of a queue."""
-    v = (place + 1) / rates[queue]
-    upto = _until(v, totals, rates)
-    tied = (upto > 0) & (upto / rates == v[:, None])
-    return (upto - tied).sum(1) + tied[:, :queue].sum(1)
+    v = np.minimum((place // quantum + 1) * quantum, totals[queue]) / rates[queue]
+    upto = _until(v, totals, rates, quantum)
+    tokens = np.minimum(upto * quantum, totals)
+    tied = (upto > 0) & (tokens / rates == v[:, None])
+    before = np.where(tied, (upto - 1) * quantum, tokens)
+    return before.sum(1) + (tokens - before)[:, :queue].sum(1) + place % quantum
 
 
-def _cut_chunk(row: dict, starts: dict, queue_of, totals, rates, length: int, dtype):
+def _cut_chunk(row: dict, starts: dict, queue_of, totals, rates, length: int, quantum: int, dtype):
     """Columns of the pieces of one chunk."""
     sizes = np.array(row["sizes"], np.int64)
     queue = np.array([queue_of(s) for s in row["sources"]])
@@ -118,10 +125,10 @@ def _cut_chunk(row: dict, starts: dict, queue_of, totals, rates, length: int, dt
     for q in np.unique(queue):
         mine = np.flatnonzero(queue == q)
         edges = starts[q] + np.concatenate([[0], np.cumsum(sizes[mine])])      # documents in the queue
-        w0, w1 = rank_of(q, np.array([edges[0], edges[-1] - 1]), totals, rates) // length
+        w0, w1 = rank_of(q, np.array([edges[0], edges[-1] - 1]), totals, rates, quantum) // length
         for lo in range(w0, w1 + 1, 8192):
             hi = min(lo + 8192, w1 + 1)
-            counts = served(np.minimum(np.arange(lo, hi + 1) * length, totals.sum()), totals, rates)
+            counts = served(np.minimum(np.arange(lo, hi + 1) * length, totals.sum()), totals, rates, quantum)
             before = (counts[1:, :q] - counts[:-1, :q]).sum(1)                 # of the window, served by earlier queues
             a, b = max(edges[0], counts[0, q]), min(edges[-1], counts[-1, q])
             cuts = np.unique(np.concatenate([counts[:, q], edges, [a, b]]))
@@ -143,12 +150,14 @@ def _cut_chunk(row: dict, starts: dict, queue_of, totals, rates, length: int, dt
 
 
 def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, length: int = LENGTH,
-         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quantum: int = QUANTUM,
+         temper: float = 1.0) -> DataFrame:
     """Pieces (``PIECES``) of all documents, in sequences of ``length`` tokens.
 
     ``targets``: weight by source, positive and finite (others are refused by
-    name; leave a source out of ``docs`` to leave it out); by default every
-    queue's share is its share of all tokens, so each window mirrors the corpus.
+    name; leave a source out of ``docs`` to leave it out).  By default a source
+    weighs its tokens to the power of ``temper``: 1 lets each window mirror the
+    corpus, less gives rare sources more of each window until they are drained.
     Weights of sources that do not occur change nothing.  Sources without a weight
     share the weight 1 queue of the rest; so do null sources and, beyond
     ``MAX_QUEUES`` sources, the smallest ones.  Only the last sequence is short
@@ -172,7 +181,7 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, le
     total = {r.queue: r.n for r in queued.groupBy("queue").agg(F.sum("n").alias("n")).collect()}   # MAX_QUEUES + 1 rows
     order = [*names, None] if None in total else names
     totals = np.array([total[q] for q in order], np.int64)
-    weight = totals.astype(float) if targets is None else np.array([targets.get(q, 1.0) for q in order], float)
+    weight = totals.astype(float) ** temper if targets is None else np.array([targets.get(q, 1.0) for q in order], float)
     place = {q: i for i, q in enumerate(order)}
     queue_of = functools.partial(_queue_of, place)
     w = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,7 +194,7 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, le
         for b in batches:
             for row in b.to_pylist():
                 at = {queue_of(s["queue"]): s["start"] for s in row["starts"]}
-                yield _cut_chunk(row, at, queue_of, totals, weight, length, dtype)
+                yield _cut_chunk(row, at, queue_of, totals, weight, length, quantum, dtype)
 
     return chunks.join(starts, "chunk").mapInArrow(cut, PIECES)
 
@@ -195,7 +204,8 @@ def _queue_of(place: dict, source: str | None) -> int:
 
 
 def query(spark, sf_dir: str, path: str | None = None) -> DataFrame:
-    """op3: every document's pieces."""
+    """op3: every document's pieces; rare sources weigh more than in the corpus."""
     from .sources import table, tokenizer_path
 
-    return pack(table(spark, sf_dir, "documents"), path or tokenizer_path("byte_bpe_50k.json")).drop("source")
+    return pack(table(spark, sf_dir, "documents"), path or tokenizer_path("byte_bpe_50k.json"),
+                temper=TEMPER).drop("source")

@@ -1,5 +1,6 @@
 """Packing: whole pieces, full windows, target proportions at every window."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -48,9 +49,10 @@ def test_every_id_is_in_one_piece(spark, targets, length):
         assert at == length or s == max(by_seq)
 
 
-def test_each_window_meets_the_target_within_a_token(spark):
+@pytest.mark.parametrize("quantum", [1, 40])
+def test_each_window_meets_the_target_within_a_quantum(spark, quantum):
     rows = corpus()[:-1]
-    got = p.pack(frame(spark, rows), PATH, length=256).collect()
+    got = p.pack(frame(spark, rows), PATH, length=256, quantum=quantum).collect()
     total = sum(r.length for r in got)
     share = {}
     for r in got:
@@ -58,21 +60,66 @@ def test_each_window_meets_the_target_within_a_token(spark):
     for last in range(1, max(r.sequence_id for r in got)):
         for source, part in share.items():
             served = sum(r.length for r in got if r.sequence_id < last and r.source == source)
-            assert abs(served - part * 256 * last) <= len(share)
+            assert abs(served - part * 256 * last) <= quantum * (1 + len(share) * part)
 
 
 def test_served_counts_and_ranks_agree_with_a_simulation():
     totals = np.array([50, 7, 7, 120, 1])
-    for rates in (totals.astype(float), np.array([1.0, 1.0, 2.0, 3.0, 0.5])):
-        order = sorted(((k + 1) / rates[q], q, k) for q in range(5) for k in range(totals[q]))
+    for rates, quantum in itertools.product((totals.astype(float), totals ** 0.7, np.array([1.0, 1.0, 2.0, 3.0, 0.5])),
+                                            (1, 3, 7, 64)):
+        order = sorted((min((k // quantum + 1) * quantum, totals[q]) / rates[q], q, k)
+                       for q in range(5) for k in range(totals[q]))
         want = np.zeros((len(order) + 1, 5), int)
         for n, (_, q, _) in enumerate(order):
             want[n + 1] = want[n]
             want[n + 1, q] += 1
-        assert (p.served(np.arange(len(order) + 1), totals, rates) == want).all()
+        assert (p.served(np.arange(len(order) + 1), totals, rates, quantum) == want).all()
         for q in range(5):
             ranks = [n for n, x in enumerate(order) if x[1] == q]
-            assert p.rank_of(q, np.arange(totals[q]), totals, rates).tolist() == ranks
+            assert p.rank_of(q, np.arange(totals[q]), totals, rates, quantum).tolist() == ranks
+
+
+def round_robin(totals, shares, quantum):
+    """Deficit round robin, quantum by quantum: the queue that is owed most first."""
+    left, spent = list(totals), [0] * len(totals)
+    while any(left):
+        q = min((q for q in range(len(totals)) if left[q]),
+                key=lambda q: (min(spent[q] + quantum, totals[q]) / shares[q], q))
+        step = min(quantum, left[q])
+        left[q], spent[q] = left[q] - step, spent[q] + step
+        yield q, step
+
+
+def test_the_query_is_the_plain_round_robin_with_its_own_mixture(spark):
+    """The registered query on sf0.001, against tokenising and serving everything here."""
+    d = "/root/testdata/sf0.001"
+    got = p.query(spark, d).collect()
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    ids, source = dict(true_ids(rows)), {r[0]: r[2] for r in rows}
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == set(ids)
+    for i, mine in pieces.items():
+        at = 0
+        for r in sorted(mine, key=lambda r: r.start):
+            assert r.start == at and zlib.crc32(np.array(ids[i][at:at + r.length], "<u4").tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids[i]) == mine[0].doc_tokens
+    names = sorted(set(source.values()))
+    totals = [sum(len(ids[i]) for i in ids if source[i] == s) for s in names]
+    want, at = {}, 0
+    for q, step in round_robin(totals, [t ** p.TEMPER for t in totals], p.QUANTUM):
+        while step:
+            here = min(step, p.LENGTH - at % p.LENGTH)
+            want[at // p.LENGTH, names[q]] = want.get((at // p.LENGTH, names[q]), 0) + here
+            at, step = at + here, step - here
+    served = {}
+    for r in got:
+        key = r.sequence_id, source[r.doc_id]
+        served[key] = served.get(key, 0) + r.length
+    assert served == want
+    assert np.median([r.length for r in got if r.doc_tokens >= 2 * p.QUANTUM]) >= p.QUANTUM / 2
 
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
