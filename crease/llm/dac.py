@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, block_bounds, block_of
+from .blocks import BLOCK_BYTES, ordered_blocks
 from .sources import stored
 from .textops import row_slices
 from .tokens import SLICE_BYTES, PartEncoder
@@ -118,12 +118,15 @@ class Store:
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
           block_bytes: int = BLOCK_BYTES) -> Store:
     """Tokenise every whole text (null: empty), end each document with id 1, and
-    write all ids in ascending id order (null ids first, ties by text).
+    write all ids in ascending id order (null ids first, ties by text; the rows of
+    an id with more text than a block by a hash of them first).
 
-    Documents meet in blocks of consecutive ids (one shuffle); a block's ids are
-    written by one task, in files of at most about ``FILE_IDS`` ids.
+    Documents meet in blocks of consecutive ids and like sizes in bytes (one
+    shuffle); a block's ids are written by one task, in files of at most about
+    ``FILE_IDS`` ids.  Other columns are not read.
     """
-    bounds = block_bounds(docs, id_col, text_col, block_bytes)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows, _ = ordered_blocks(plain, "id", "text", block_bytes)
 
     def save(key, table):
         encoder = PartEncoder.of(path)
@@ -141,14 +144,12 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 out.append((len(out), size, names[first:hi], encode(np.concatenate(held), np.concatenate(firsts))))
                 held, firsts, size, first = [], [], 0, hi
         file, n, ids, raw = zip(*out)
-        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int32()), "file": pa.array(file, pa.int32()),
+        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64()), "file": pa.array(file, pa.int32()),
                          "n_ids": pa.array(n, pa.int64()), "doc_ids": pa.array(ids, pa.list_(pa.int64())),
                          "raw": pa.array(raw, pa.binary())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                       block_of(id_col, bounds).alias("_block"))
     files = stored(rows.groupBy("_block").applyInArrow(
-        save, "block int, file int, n_ids long, doc_ids array<long>, raw binary"), "dac")
+        save, "block long, file int, n_ids long, doc_ids array<long>, raw binary"), "dac")
     # one small row per file: prefix sums over files, not over documents
     order = Window.orderBy("block", "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("block", "file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))

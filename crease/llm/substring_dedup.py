@@ -4,11 +4,13 @@ Every window of every text is hashed (``textops.windows``); Spark gathers the
 hashes by value, and each window whose words also start in a document with a
 smaller id is marked.  Marked windows merge into maximal removal intervals.
 
-Plan.  Documents are dealt into blocks of consecutive ids.  A block sends its
+Plan.  Documents are dealt into blocks of consecutive ids and like sizes in bytes
+(an id with more text than a block, and rows without an id, are dealt into several
+blocks of one rank).  A block sends its
 *distinct* hashes, packed by bucket of the hash's upper bits (a hash that fills
 a third of the corpus is one entry per block, not one per document).  Buckets
-report to each block which of its hashes occur in an earlier block; since
-blocks are ordered by id, no ids travel with the hashes.  The block then adds
+report to each block which of its hashes occur in a block of an earlier rank;
+since ranks are ordered by id, no ids travel with the hashes.  The block then adds
 the repeats inside itself and cuts the texts.  The documents are shuffled once:
 both uses of the block exchange read the same shuffle.
 
@@ -27,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import block_bounds, block_of
+from .blocks import ordered_blocks, rank_of_block
+from .columns import carried_names
 from .hashes import bucket_edges, pack, unpack
 from .textops import covered, owner, row_slices, split, windows
 
 WIDTH = 50
 BLOCK_BYTES = 4 << 20
 
-_PACKED = "block int, bucket int, hashes binary"
+_PACKED = "block long, bucket int, hashes binary"
+_RESULT = "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
 
 
 def _block_windows(table: pa.Table, text_col: str, id_col: str, width: int):
@@ -58,24 +62,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a row with a smaller id; windows are judged on the input.  Null texts have
     no words.  Rows with a null id are neither compared nor cut.  Rows sharing
     an id never cut each other.  Texts shorter than ``width`` words have no
-    window.  An empty table gives an empty result.
+    window.  An empty table gives an empty result.  A carried column (or id) named
+    like one of the result's comes back with ``_in`` added to its name.
     """
-    bounds = block_bounds(docs, id_col, text_col, block_bytes)
+    out_names = carried_names([id_col, *carry], [f.name for f in T._parse_datatype_string(_RESULT)])
     cols = list(dict.fromkeys([id_col, text_col, *carry]))
-    dealt = docs.select(*[F.col(c) for c in cols], block_of(id_col, bounds).alias("_block"))
-    edges = bucket_edges(len(bounds) + 1)
+    inner = {c: f"_{k}" for k, c in enumerate(cols)}         # clash with nothing
+    schema = T.StructType([*(T.StructField(new, docs.schema[c].dataType) for c, new in out_names.items()),
+                           *T._parse_datatype_string(_RESULT).fields])
+    plain = docs.select(*[docs[c].alias(n) for c, n in inner.items()])
+    id_col, text_col = inner[id_col], inner[text_col]
+    dealt, blocks = ordered_blocks(plain, id_col, text_col, block_bytes)
+    edges = bucket_edges(blocks)
 
     def send(key, table):
         found = [h for *_, h in _block_windows(table, text_col, id_col, width)]
         h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         at = np.searchsorted(h, edges)
         parts = [(b, pack(h[lo:hi])) for b, (lo, hi) in enumerate(itertools.pairwise([*at, len(h)])) if hi > lo]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(parts), pa.int32()),
+        return pa.table({"block": pa.array([key[0].as_py()] * len(parts), pa.int64()),
                          "bucket": pa.array([b for b, _ in parts], pa.int32()),
                          "hashes": pa.array([p for _, p in parts], pa.binary())})
 
     def answer(key, table):
-        """For each block: its hashes in this bucket that an earlier block has too."""
+        """For each block: its hashes in this bucket that an earlier rank has too."""
         bucket = key[0].as_py()
         top = int(edges[bucket]) >> 56
         table = table.sort_by("block")
@@ -83,14 +93,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         blocks = np.repeat(table["block"].to_numpy(), [len(p) for p in parts])
         h = np.concatenate(parts)
         order = np.argsort(h, kind="stable")           # ascending block inside a hash
-        again = np.zeros(len(h), bool)
-        again[1:] = h[order[1:]] == h[order[:-1]]
-        h, blocks = h[order[again]], blocks[order[again]]
+        h, blocks = h[order], blocks[order]
+        head = np.concatenate([[True], h[1:] != h[:-1]])
+        first = rank_of_block(blocks[head])[np.cumsum(head) - 1]
+        again = rank_of_block(blocks) > first
+        h, blocks = h[again], blocks[again]
         order = np.lexsort((h, blocks))
         h, blocks = h[order], blocks[order]
         names, first = np.unique(blocks, return_index=True)
         packs = [pack(h[lo:hi]) for lo, hi in itertools.pairwise([*first, len(h)])]
-        return pa.table({"block": pa.array(names, pa.int32()),
+        return pa.table({"block": pa.array(names, pa.int64()),
                          "bucket": pa.array([bucket] * len(packs), pa.int32()),
                          "hashes": pa.array(packs, pa.binary())})
 
@@ -125,7 +137,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 kept.append(b" ".join(itertools.compress(words, ~mask) if n_removed[-1] else words).decode())
-        out = {c: table[c] for c in dict.fromkeys([id_col, *carry])}
+        out = {new: table[inner[c]] for c, new in out_names.items()}
         out |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 "kept_text": pa.array(kept, pa.string())}
@@ -134,9 +146,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_block = dealt.groupBy("_block")
     sent = by_block.applyInArrow(send, _PACKED)
     seen = sent.groupBy("bucket").applyInArrow(answer, _PACKED)
-    fields = [docs.schema[c] for c in dict.fromkeys([id_col, *carry])]
-    schema = T.StructType([*fields, *T._parse_datatype_string(
-        "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string").fields])
     return by_block.cogroup(seen.withColumnRenamed("block", "_block").groupBy("_block")).applyInArrow(cut, schema)
 
 
