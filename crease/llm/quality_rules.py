@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import carried_names
 from .textops import LINES, TOKENS, WORDS, Split, covered, owner, per_text, row_slices, split, windows
 
 DIM = 1 << 16
@@ -120,9 +121,13 @@ def apply_rules(docs: DataFrame, weights: np.ndarray, text_col: str = "text", th
 
     ``base_failed``: under 10 words, or over a fifth of the words lie in 5-word
     windows that occur twice in the text.  ``kept``: not base_failed and
-    ``llr >= threshold``.  A null or empty text has 0 words and fails.
+    ``llr >= threshold``.  A null or empty text has 0 words and fails.  A carried
+    column named like a column of the result comes back with ``_in`` added to its
+    name.
     """
-
+    own = T._parse_datatype_string(RULES).fields
+    out_names = carried_names(carry, [f.name for f in own])
+    carry = list(out_names)
     cols_in = list(dict.fromkeys([*carry, text_col]))
 
     def judge(batches):
@@ -139,9 +144,9 @@ def apply_rules(docs: DataFrame, weights: np.ndarray, text_col: str = "text", th
                 out["llr"] = np.bincount(of, weights[at], minlength=hi - lo) / (n + PRIOR_NGRAMS)
                 out["kept"] = ~out["base_failed"] & (out["llr"] >= threshold)
                 cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, out.values())], [*carry, *out])
+                yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, out.values())], [*out_names.values(), *out])
 
-    schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(RULES).fields])
+    schema = T.StructType([*(T.StructField(new, docs.schema[c].dataType) for c, new in out_names.items()), *own])
     return docs.select(*cols_in).mapInArrow(judge, schema)
 
 

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import count_blocks, hashed_block
+from .columns import carried_names
 from .textops import _span_hash, distinct
 
 SPACE = "▁"
@@ -409,8 +410,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the text of its ids (null ids: null); byte
-    pieces that are no UTF-8 become U+FFFD; control ids say nothing."""
+    pieces that are no UTF-8 become U+FFFD; control ids say nothing.  A column that is
+    already called ``decoded`` comes back with ``_in`` added to its name."""
     names = encoded.columns
+    out_names = carried_names(names, ["decoded"])
 
     def texts(batches):
         vocabulary = Vocabulary.of(path)
@@ -421,9 +424,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in ids.to_pylist()])])
             out = [raw[ends[x]:ends[y]].decode(errors="replace") for x, y in zip(at[:-1], at[1:])]
             out = [None if not v else t.removeprefix(" ") for t, v in zip(out, ids.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*out_names.values(), "decoded"])
 
-    return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    return encoded.mapInArrow(texts, T.StructType([*(T.StructField(out_names[f.name], f.dataType) for f in encoded.schema),
+                                                   T.StructField("decoded", T.StringType())]))
 
 
 def query(spark, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -64,3 +64,10 @@ def test_empty_tables_and_null_labels(spark):
     assert {r.kept for r in got.where("n_words = 0").collect()} == {False}
     no_labels = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept != r.base_failed for r in q.judge_documents(frame(spark), no_labels).collect())
+
+
+def test_carried_columns_with_the_results_names(spark):
+    df = frame(spark).selectExpr("doc_id", "text", "'a' AS kept", "'b' AS n_words")
+    got = q.apply_rules(df, np.zeros(q.DIM), carry=["doc_id", "kept", "n_words"])
+    assert got.columns[:3] == ["doc_id", "kept_in", "n_words_in"]
+    assert {(r.kept_in, r.n_words_in) for r in got.collect()} == {("a", "b")}

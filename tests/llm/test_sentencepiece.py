@@ -77,3 +77,8 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     got = s.encode(frame(spark, rows), PATH).collect()
     assert sorted((r.doc_id or 0, r.n_pieces, r.round_trip) for r in got) == [(0, 2, True), (1, 0, True), (2, 2, True), (2, 2, True)]
     assert s.encode(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_decoding_beside_a_column_of_that_name(spark):
+    rows = spark.createDataFrame([([], "x"), (None, "y")], "ids array<int>, decoded string")
+    assert sorted(r.decoded_in for r in s.decode(rows, PATH).collect()) == ["x", "y"]
