@@ -19,13 +19,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import carried_names
 from .textops import BARE_WORDS, mix, owner, row_slices, split, windows
 
 DIM = 1 << 18
+TRAIN_BYTES = 256 << 20
 TRAIN_DOCS = 20_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.1
@@ -76,18 +78,27 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % HELD_OUT_FOLDS == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS,
+          train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) of the non-zero weights; the bias sits at place ``DIM``.
 
     Repeated labels of a document count once (toxic if any says so); labels
     that are null or of held-out or absent documents are not used.  With no
     labelled row left, every weight is 0 and every score 0.5.
+
+    The sample: at most ``train_docs`` rows, in order of a hash of their ids, and
+    of these as many as begin within the first ``train_bytes`` bytes of text; the
+    texts are whole.
     """
     sample = (labels.where("toxic IS NOT NULL").where(~held_out("doc_id"))
               .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
               .orderBy(F.xxhash64("_id"), "_id").limit(train_docs))
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
             .select(F.lit(0).alias("_model"), F.xxhash64("doc_id").alias("_order"), "doc_id", "text", "_toxic"))
+    sampled = Window.partitionBy("_model").orderBy("_order", "doc_id", F.xxhash64("text"))
+    upto = F.sum(F.octet_length("text")).over(sampled.rowsBetween(Window.unboundedPreceding, -1))
+    rows = (rows.withColumn("_n", F.row_number().over(sampled)).where(F.col("_n") <= train_docs)
+            .withColumn("_upto", F.coalesce(upto, F.lit(0))).where(F.col("_upto") < train_bytes).drop("_n", "_upto"))
 
     def fit(table):
         table = table.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
@@ -107,8 +118,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text",
           carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, ``score`` in [0, 1] and ``predicted`` for every row.
-    Null and empty texts get the bias's score."""
+    Null and empty texts get the bias's score.  A carried column named like a
+    column of the result comes back with ``_in`` added to its name."""
     places, values = model
+    out_names = carried_names(carry, ["score", "predicted"])
+    carry = list(out_names)
     cols_in = list(dict.fromkeys([*carry, text_col]))
 
     def judge(batches):
@@ -123,9 +137,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
                 p = 1 / (1 + np.exp(-np.clip(w[_BIAS] + total[off[1:]] - total[off[:-1]], -35, 35)))
                 cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                                                 [*carry, "score", "predicted"])
+                                                 [*out_names.values(), "score", "predicted"])
 
-    schema = T.StructType([*(docs.schema[c] for c in carry),
+    schema = T.StructType([*(T.StructField(new, docs.schema[c].dataType) for c, new in out_names.items()),
                            *T._parse_datatype_string("score double, predicted int").fields])
     return docs.select(*cols_in).mapInArrow(judge, schema)
 

@@ -78,3 +78,21 @@ def test_edge_cases(spark):
     assert {r.score for r in t.score(frame(spark), t.learn(frame(spark), none)).collect()} == {0.5}
     assert t.score(spark.createDataFrame([], SCHEMA), (np.zeros(0, int), np.zeros(0))).count() == 0
     assert spark.createDataFrame([(None,)], "doc_id long").select(t.held_out("doc_id")).first()[0] is True
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, ("good " if i % 2 else "awful ") * 100) for i in range(400)] + [(1, "good good")] * 500,
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, toxic int")
+    whole = t.learn(docs, labels)
+    assert [x.tolist() for x in t.learn(docs, labels, train_bytes=1 << 30)] == [x.tolist() for x in whole]
+    few, one = t.learn(docs, labels, train_docs=30), t.learn(docs, labels, train_bytes=30 * 600)
+    assert len(one[0]) <= len(whole[0]) and len(few[0]) <= len(whole[0])
+    assert not len(t.learn(docs, labels, train_bytes=0)[0])
+
+
+def test_carried_columns_with_the_results_names(spark):
+    df = frame(spark).selectExpr("doc_id", "text", "'a' AS score", "'b' AS Predicted")
+    got = t.score(df, (np.zeros(0, int), np.zeros(0)), carry=["doc_id", "score", "Predicted"])
+    assert got.columns == ["doc_id", "score_in", "Predicted_in", "score", "predicted"]
+    assert {tuple(r)[1:] for r in got.collect()} == {("a", "b", 0.5, 1)}
