@@ -6,17 +6,20 @@ has none and links to nothing).  Links: Jaccard similarity >= ``threshold``.
 1. One narrow pass makes each text's key (hash of its word sequence) and the
    keys of ``BANDS`` bands of ``ROWS`` MinHash values.  Copies fold into one
    text class, named by its smallest document id.
-2. Classes that share a band are candidates: each is tied to the band's
-   smallest class, and connected components of these ties are the groups in
-   which links can lie (two texts at 0.8 share no band with probability
-   (1 - 0.8**ROWS)**BANDS = 3e-6).
-3. Only texts of such groups are gathered.  A group of more than ``CHUNK``
-   texts is cut into chunks and every pair of chunks is a task of its own.  A
-   task compares MinHash values ``STEP`` at a time and drops a pair as soon as
+2. Classes that share a band are candidates (two texts at 0.8 share none with
+   probability (1 - 0.8**ROWS)**BANDS = 3e-6); no other pair is compared.  Each
+   class is tied to the smallest class of its bands; components of these ties
+   of at most ``CHUNK`` texts meet in one task, texts and all.
+3. The texts of larger components (site templates tie millions together) meet
+   by band instead: a band's texts are a bucket, a bucket of more than ``CHUNK``
+   texts is cut into chunks, and every pair of chunks is a task.  A pair belongs
+   to the first band it shares, so it is compared once.  Signatures travel
+   first; texts follow only where one has a candidate left.
+4. A task compares MinHash values ``STEP`` at a time and drops a pair as soon as
    P(similarity >= threshold | matches), under a uniform prior, falls below
    ``TOLERANCE``; the rest is verified on the exact gram sets.  A task returns
    link counts and a spanning forest -- one row per text, never the pairs.
-4. Components of the verified forest are the near-duplicate classes.
+5. Components of the verified forest are the near-duplicate classes.
 
 Texts and grams are compared by 64-bit hashes.
 """
@@ -122,17 +125,25 @@ def _sketch(batches):
                 ["id", "key", "bands"])
 
 
-def _survivors(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, tolerance: float):
-    """Pairs (row of a, row of b) that incremental MinHash comparison keeps."""
-    found = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(STEP):
-        found += a[:, k, None] == b[None, :, k]
-    keep = found >= least_matches(STEP, threshold, tolerance)
-    if same:
-        keep = np.triu(keep, 1)
-    left, right = np.nonzero(keep)
-    matches = found[left, right].astype(np.int32)
-    for k in range(STEP, HASHES, STEP):
+def candidates(a: np.ndarray, b: np.ndarray, same: bool, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``a``, row of ``b``) of texts, given by their band keys, that
+    share a band; for a bucket of band ``band`` (not -1) those that share it and
+    none before it.  ``same``: a and b are the same texts, each pair counts once."""
+    if band >= 0:
+        shares = a[:, band, None] == b[None, :, band]
+        for k in range(band):
+            shares &= a[:, k, None] != b[None, :, k]
+    else:
+        shares = np.zeros((len(a), len(b)), bool)
+        for k in range(a.shape[1]):
+            shares |= a[:, k, None] == b[None, :, k]
+    return np.nonzero(np.triu(shares, 1) if same else shares)
+
+
+def _survivors(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float):
+    """The pairs (row of a, row of b) that incremental MinHash comparison keeps."""
+    matches = np.zeros(len(left), np.int32)
+    for k in range(0, HASHES, STEP):
         for lo in range(0, len(left), 1 << 16):
             part = slice(lo, lo + (1 << 16))
             matches[part] += (a[left[part], k:k + STEP] == b[right[part], k:k + STEP]).sum(1)
@@ -141,6 +152,60 @@ def _survivors(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, toler
     return left, right
 
 
+def _meetings(table: pa.Table):
+    """(first row, end, chunk a, chunk b, band) of each pair of chunks of a sorted table."""
+    group, i, j, band = (table[c].to_numpy() for c in ("group", "i", "j", "band"))
+    if not len(group):
+        return
+    new = (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (band[1:] != band[:-1])
+    head = np.flatnonzero(np.concatenate([[True], new]))
+    for lo, hi in zip(head, [*head[1:], len(group)]):
+        yield lo, hi, i[lo], j[lo], int(band[lo])
+
+
+def _pairs(rows: np.ndarray, chunk: np.ndarray, i, j, band: int, sigs: np.ndarray, threshold: float, tolerance: float):
+    """Surviving pairs (places in ``rows``) of a meeting of the texts ``rows``."""
+    same = i == j
+    a = rows if same else rows[chunk[rows] == i]
+    b = rows if same else rows[chunk[rows] == j]
+    keys = band_keys(sigs[a])
+    left, right = candidates(keys, keys if same else band_keys(sigs[b]), same, band)
+    left, right = _survivors(sigs[a], sigs[b], left, right, threshold, tolerance)
+    return np.searchsorted(rows, a[left]), np.searchsorted(rows, b[right])
+
+
+_SORT = [(c, "ascending") for c in ("group", "band", "i", "j", "node")]
+
+
+def _signatures(batches):
+    """(node, sig, bands) of the rows whose text is its class's."""
+    for b in batches:
+        texts, node = b.column(1), b.column(0).to_numpy()
+        for lo, hi in row_slices(texts):
+            keys, values, offsets = grams(split(texts.slice(lo, hi - lo)))
+            at = np.flatnonzero(keys.view(np.int64) == node[lo:hi])
+            sigs = minhashes(values, offsets)[at]
+            bands = band_keys(sigs).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[lo:hi][at]), pa.array([x.astype("<u4").tobytes() for x in sigs], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(bands))],
+                ["node", "sig", "bands"])
+
+
+def _promising(threshold: float, tolerance: float):
+    """The texts of each meeting that keep a pair, by their signatures."""
+    def survive(key, table):
+        table = table.sort_by(_SORT)
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
+        chunk, kept = table["chunk"].to_numpy(), [np.zeros(0, np.int64)]
+        for lo, hi, i, j, band in _meetings(table):
+            rows = np.arange(lo, hi)
+            kept.append(rows[np.unique(np.concatenate(_pairs(rows, chunk, i, j, band, sigs, threshold, tolerance)))])
+        return table.drop_columns(["sig"]).take(pa.array(np.concatenate(kept)))
+
+    return survive
+
+
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the given pairs of sorted sets."""
     size = np.array([len(x) for x in sets])
@@ -168,8 +233,8 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 def _verified(threshold: float, tolerance: float):
     def verify(key, table):
-        table = table.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
-        root, i, j, chunk, node, copies = (table[c].to_numpy() for c in ("root", "i", "j", "chunk", "node", "copies"))
+        table = table.sort_by(_SORT)
+        chunk, node, copies = (table[c].to_numpy() for c in ("chunk", "node", "copies"))
         texts = table["text"].combine_chunks()
         keys, sigs, sets = [], [], []
         for lo, hi in row_slices(texts):
@@ -178,19 +243,14 @@ def _verified(threshold: float, tolerance: float):
             sigs.append(minhashes(values, offsets))
             sets += [np.unique(values[x:y]) for x, y in zip(offsets[:-1], offsets[1:])]
         keys, sigs = np.concatenate(keys), np.concatenate(sigs)
-        head = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         out = {"node": [], "texts": [], "docs": [], "parent": []}
-        for lo, hi in zip(head, [*head[1:], len(root)]):
+        for lo, hi, i, j, band in _meetings(table):
             rows = np.arange(lo, hi)
             rows = rows[keys[lo:hi] == node[lo:hi]]            # rows that share an id with the class's document
             rows = rows[np.concatenate([[True], node[rows][1:] != node[rows][:-1]])] if len(rows) else rows
-            same = i[lo] == j[lo]
-            a = rows if same else rows[chunk[rows] == i[lo]]
-            b = rows if same else rows[chunk[rows] == j[lo]]
-            if not len(a) or not len(b):
+            left, right = _pairs(rows, chunk, i, j, band, sigs, threshold, tolerance)
+            if not len(left):
                 continue
-            left, right = _survivors(sigs[a], sigs[b], same, threshold, tolerance)
-            left, right = np.searchsorted(rows, a[left]), np.searchsorted(rows, b[right])
             own = [sets[r] for r in rows]
             common = _common(own, left, right)
             size = np.array([len(x) for x in own])
@@ -217,6 +277,30 @@ def _verified(threshold: float, tolerance: float):
     return verify
 
 
+_LINKS = "node long, texts long, docs long, parent long"
+
+
+def _by_band(texts: DataFrame, threshold: float, tolerance: float, chunk: int) -> DataFrame:
+    """Links among ``texts`` (node, copies, text) whose groups are too large for a task."""
+    signed = stored(texts.select("node", "text").mapInArrow(_signatures, "node long, sig binary, bands array<long>")
+                    .dropDuplicates(["node"]), "signed")
+    member = signed.select("node", F.posexplode("bands").alias("band", "group"))
+    buckets = stored(member.groupBy("group", "band").agg(F.count("*").alias("n")).where("n > 1")
+                     .select("group", "band", F.ceil(F.col("n") / chunk).cast("long").alias("chunks")), "buckets")
+    packs = F.lit(max(1, buckets.count() * 2 // PACK))
+    meets = (member.join(buckets, ["group", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+             .withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+             .withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("group"), packs))
+                         .otherwise(F.xxhash64("group", "i", "j")))
+             .select("task", "group", "band", "i", "j", "chunk", "node"))
+    kept = stored(meets.join(signed.select("node", "sig"), "node").groupBy("task").applyInArrow(
+        _promising(threshold, tolerance),
+        "node long, task long, group long, band int, i long, j long, chunk long"), "promising")
+    return (kept.join(texts.select("node", "copies", "text"), "node").groupBy("task")
+            .applyInArrow(_verified(threshold, tolerance), _LINKS))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                     tolerance: float = TOLERANCE, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: the id, ``class_id`` (smallest id of its
@@ -245,17 +329,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packs = max(1, group.count() // PACK)
 
     placed = (group.join(sizes, "root").join(classes, F.col("node") == F.col("key"))
-              .withColumn("chunks", F.ceil(F.col("size") / chunk).cast("long"))
-              .withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-              .select("root", "node", "chunks", "chunk", F.col("n_copies").alias("copies"), "text_id"))
+              .select("root", "node", "size", F.col("n_copies").alias("copies"), "text_id"))
     texts = rows.join(placed, F.col("id") == F.col("text_id"))
-    blocks = (texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-              .withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-              .withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)))
-                          .otherwise(F.xxhash64("root", "i", "j")))
-              .select("task", "root", "i", "j", "chunk", "node", "copies", "text"))
-    links = stored(blocks.groupBy("task").applyInArrow(_verified(threshold, tolerance),
-                                                       "node long, texts long, docs long, parent long"), "links")
+    verify = _verified(threshold, tolerance)
+    small = (texts.where(F.col("size") <= chunk)
+             .select(F.pmod(F.xxhash64("root"), F.lit(packs)).alias("task"), F.col("root").alias("group"),
+                     F.lit(-1).alias("band"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"),
+                     F.lit(0).cast("long").alias("chunk"), "node", "copies", "text"))
+    links = small.groupBy("task").applyInArrow(verify, _LINKS)
+    if not sizes.where(F.col("size") > chunk).isEmpty():
+        links = links.union(_by_band(texts.where(F.col("size") > chunk), threshold, tolerance, chunk))
+    links = stored(links, "links")
 
     counts = links.groupBy("node").agg(F.sum("texts").alias("n_texts"), F.sum("docs").alias("docs"))
     joined = components(links.select(F.col("node").alias("u"), F.col("parent").alias("v")))

@@ -100,3 +100,42 @@ def test_components_of_chains_and_cycles(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 150, 150: 150}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def template(n, seed=4):
+    """Texts of which half the words come from one template: many shared bands, few links."""
+    rng = np.random.default_rng(seed)
+    page = [f"t{k}" for k in range(40)]
+    out = []
+    for i in range(n):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 40)]
+        out.append(" ".join((page + own) if i % 9 else page + own[:3]))
+    return out
+
+
+def test_each_pair_that_shares_a_band_is_compared_once():
+    import itertools
+
+    from crease.llm.textops import split
+    import pyarrow as pa
+
+    _, values, offsets = j.grams(split(pa.array(template(300))))
+    keys = j.band_keys(j.minhashes(values, offsets))
+    want = {(a, b) for a, b in itertools.combinations(range(300), 2) if (keys[a] == keys[b]).any()}
+    assert set(zip(*(x.tolist() for x in j.candidates(keys, keys, True, -1)))) == want
+    met = []
+    for band in range(j.BANDS):
+        for key in np.unique(keys[:, band]):
+            rows = np.flatnonzero(keys[:, band] == key)
+            left, right = j.candidates(keys[rows], keys[rows], True, band)
+            met += zip(rows[left].tolist(), rows[right].tolist())
+    assert len(met) == len(set(met)) and set(met) == want
+    assert len(want) < 300 * 299 / 4                     # the component has nearly all pairs
+
+
+@pytest.mark.parametrize("chunk", [16, 1024])
+def test_templates_equal_brute_force(spark, chunk):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(template(150) + family(30, 5))]
+    rows += rows[3:6] + [(9, "another text under a known id", "en", "s", 0)]
+    got = j.near_duplicates(frame(spark, rows), chunk=chunk)
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == brute(rows)
