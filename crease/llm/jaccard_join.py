@@ -286,8 +286,8 @@ def _by_band(texts: DataFrame, threshold: float, tolerance: float, chunk: int) -
                     .dropDuplicates(["node"]), "signed")
     member = signed.select("node", F.posexplode("bands").alias("band", "group"))
     buckets = stored(member.groupBy("group", "band").agg(F.count("*").alias("n")).where("n > 1")
-                     .select("group", "band", F.ceil(F.col("n") / chunk).cast("long").alias("chunks")), "buckets")
-    packs = F.lit(max(1, buckets.count() * 2 // PACK))
+                     .select("group", "band", "n", F.ceil(F.col("n") / chunk).cast("long").alias("chunks")), "buckets")
+    packs = F.lit(max(1, (buckets.where("chunks = 1").agg(F.sum("n")).first()[0] or 0) // PACK))    # by texts
     meets = (member.join(buckets, ["group", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
              .withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
